@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import table
 from quarry.llm.exact_dedup import exact_groups
+from quarry.llm.packing import pack
 from quarry.llm.sharding import shard_by_bytes
 
 
@@ -16,6 +17,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), word_bpe(), end_id=1, capacity=4096)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -24,6 +35,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_best_fit_packing": op8_best_fit_packing,
         "op10_sharding": op10_sharding,
     }
 
