@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import secrets
 from quarry.llm.common import table
 from quarry.llm.exact_dedup import exact_groups
 from quarry.llm.packing import pack
 from quarry.llm.sharding import shard_by_bytes
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_secret_scans": op3_secret_scans,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op10_sharding": op10_sharding,
