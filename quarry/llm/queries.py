@@ -12,6 +12,11 @@ from quarry.llm.common import table
 from quarry.llm.exact_dedup import exact_groups
 from quarry.llm.packing import pack
 from quarry.llm.sharding import shard_by_bytes
+from quarry.llm.simhash import near_duplicates
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +44,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
         "op3_secret_scans": op3_secret_scans,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
