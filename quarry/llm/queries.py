@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import secrets
+from quarry.llm import quality, secrets
 from quarry.llm.common import table
 from quarry.llm.exact_dedup import exact_groups
 from quarry.llm.packing import pack
@@ -23,6 +23,13 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.train(documents, table(spark, sf_dir, "labels"))
+    scored = quality.score(documents, model, threshold=0.7)
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -46,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op3_secret_scans": op3_secret_scans,
+        "op4_quality_classifier": op4_quality_classifier,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op10_sharding": op10_sharding,
