@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.llm import quality, secrets
 from quarry.llm.common import table
 from quarry.llm.exact_dedup import exact_groups
+from quarry.llm.neighbours import nearest
 from quarry.llm.packing import pack
 from quarry.llm.sharding import shard_by_bytes
 from quarry.llm.simhash import near_duplicates
@@ -30,6 +31,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op5_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20, factor=1.0)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op3_secret_scans": op3_secret_scans,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_vantage_point_search": op5_vantage_point_search,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op10_sharding": op10_sharding,
