@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import quality, secrets
-from quarry.llm.common import table
+from quarry.llm.common import Scratch, table
 from quarry.llm.exact_dedup import exact_groups
 from quarry.llm.neighbours import nearest
 from quarry.llm.packing import pack
 from quarry.llm.sharding import shard_by_bytes
 from quarry.llm.simhash import near_duplicates
+from quarry.llm.token_files import read_index, write_files
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,12 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op7_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "token-files").path("ids")
+    write_files(table(spark, sf_dir, "documents"), path, word_bpe(), end_id=1)
+    return read_index(spark, path)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_bpe(), end_id=1, capacity=4096)
 
@@ -61,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_classifier": op4_quality_classifier,
         "op5_vantage_point_search": op5_vantage_point_search,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_range_coded_ids": op7_range_coded_ids,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op10_sharding": op10_sharding,
     }
