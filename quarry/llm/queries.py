@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.llm import quality, secrets
 from quarry.llm.common import Scratch, table
 from quarry.llm.exact_dedup import exact_groups
+from quarry.llm.line_dedup import without_boilerplate
 from quarry.llm.neighbours import nearest
 from quarry.llm.packing import pack
 from quarry.llm.sharding import shard_by_bytes
@@ -56,6 +57,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_bpe(), end_id=1, capacity=4096)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_boilerplate(table(spark, sf_dir, "documents"), sites=8).select("doc_id", "n_removed", "text")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -70,12 +75,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op7_range_coded_ids": op7_range_coded_ids,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_line_dedup": op9_line_dedup,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op6_exact_dedup": EXACT_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
 
 
 EXACT_DEDUP_SQL = r"""
@@ -91,3 +97,20 @@ WITH d AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
 """
+
+LINE_DEDUP_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS nth
+  FROM documents
+), keyed AS (
+  SELECT doc_id, source, line, nth, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key FROM lines
+), spread AS (
+  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT source) >= 8
+), judged AS (
+  SELECT k.doc_id, k.line, k.nth, s.key IS NOT NULL AS gone FROM keyed k LEFT JOIN spread s ON k.key = s.key
+)
+SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (NOT gone), '') AS text
+FROM judged GROUP BY doc_id
+"""
