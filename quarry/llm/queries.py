@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import quality, secrets
+from quarry.llm import pieces, quality, secrets
 from quarry.llm.common import Scratch, table
 from quarry.llm.exact_dedup import exact_groups
 from quarry.llm.line_dedup import without_boilerplate
@@ -22,6 +22,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    both = pieces.decode(encoded, model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), pieces.ids_crc32("ids").alias("ids_crc32"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -69,6 +78,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_secret_scans": op3_secret_scans,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_vantage_point_search": op5_vantage_point_search,

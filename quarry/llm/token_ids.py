@@ -12,6 +12,8 @@ import re
 
 from tokenizers import Tokenizer
 
+from quarry.llm.common import Recent
+
 #: The normaliser and the pattern under which chunks are independent of each other.
 NORMALISERS = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -28,24 +30,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class _Chunks(dict):
-    """Chunk -> ids as bytes. Two generations of ``limit`` entries; what is used stays."""
-
-    def __init__(self, encode, limit: int):
-        super().__init__()
-        self.encode, self.limit, self.old = encode, limit, {}
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            ids = self.encode(chunk)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = ids
-        return ids
-
-
 class TokenIds:
     """Ids of a text as little-endian bytes of ``dtype``; built from the text of a tokenizer file."""
 
@@ -60,7 +44,7 @@ class TokenIds:
         self.by_chunk = [x["type"] for x in steps] == NORMALISERS and split.get("behavior") == "Removed" and split.get("invert") and split.get("pattern", {}).get("Regex") == SPLIT and not any(x["content"].split() != [x["content"]] or x["lstrip"] or x["rstrip"] for x in told["added_tokens"])
         self.letters = _byte_letters()
         self.model = self.library.model
-        self.lower, self.raw = _Chunks(self._simple, cache), _Chunks(self._whole, cache // 8)
+        self.lower, self.raw = Recent(self._simple, cache), Recent(self._whole, cache // 8)
 
     def _pack(self, ids) -> bytes:
         import numpy as np
