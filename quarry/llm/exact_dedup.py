@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import Scratch, text_or_empty
 
@@ -92,3 +93,57 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     wins = (F.col("winner.part") == F.col("part")) & (F.col("winner.run") == F.col("run"))
     out = runs.drop("edge").join(F.broadcast(joined), ["part", "run"], "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("winner").isNull(), F.col("keep")).otherwise(F.col("winner.keep")).alias("keep_id"), F.coalesce("all_size", "size").alias("group_size"), (F.col("best") & F.coalesce(wins, F.lit(True))).alias("kept"), "text_sha256")
+
+
+def _bests(batches):
+    """Of each run of equal neighbours the row that stays in this partition; ``edge`` has the text of those that may go on elsewhere."""
+    part, first_hash, held, made = TaskContext.get().partitionId(), None, None, 0
+
+    def told(rows: pa.Table, edge: np.ndarray) -> pa.RecordBatch:
+        nonlocal made
+        rows = rows.combine_chunks()
+        norm = pa.array([t if e else None for t, e in zip(rows["norm"].to_pylist(), edge.tolist(), strict=True)], pa.string())
+        at = pa.array(np.arange(made, made + rows.num_rows, dtype=np.int64))
+        made += rows.num_rows
+        columns = [rows["row"], rows["id"], rows["points"], pa.array(np.full(rows.num_rows, part, np.int32)), at, norm]
+        return pa.Table.from_arrays(columns, names=["row", "id", "points", "part", "run", "edge"]).combine_chunks()
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = (pa.concat_tables([held, rows]) if held is not None else rows).combine_chunks()
+        if not rows.num_rows:
+            continue
+        norm, hashes = rows["norm"].combine_chunks(), rows["hash"].to_numpy()
+        first_hash = hashes[0] if first_hash is None else first_hash
+        starts = np.ones(rows.num_rows, bool)
+        if rows.num_rows > 1:
+            starts[1:] = pc.not_equal(norm.slice(1), norm.slice(0, rows.num_rows - 1)).to_numpy(zero_copy_only=False)
+        at = np.cumsum(starts)
+        missing, value = rows["id"].is_null().to_numpy(), pc.fill_null(rows["id"], 0).to_numpy()
+        order = np.lexsort((np.arange(len(at)), value, missing, -rows["points"].to_numpy(), at))
+        best = rows.take(pa.array(order[np.concatenate([[True], at[1:] != at[:-1]])]))
+        own = best["hash"].to_numpy()
+        tail = own == hashes[-1]
+        held = best.filter(pa.array(tail))
+        if not tail.all():
+            yield from told(best.filter(pa.array(~tail)), own[~tail] == first_hash).to_batches()
+    if held is not None:
+        yield from told(held, np.ones(held.num_rows, bool)).to_batches()
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns: of each group of :func:`exact_groups` exactly one.
+
+    Rows are carried through the sort, so repeated rows and null ids need no join back."""
+    scratch = Scratch(df.sparkSession, "deduplicated")
+    text = F.col(f"row.`{text_col}`").cast("string")
+    norm = F.translate(F.coalesce(text, F.lit("")), SPACES, "")
+    rows = df.select(F.struct("*").alias("row")).select("row", F.col(f"row.`{id_col}`").cast("long").alias("id"), F.char_length(F.coalesce(text, F.lit(""))).cast("long").alias("points"), F.substring(norm, 1, PREFIX).alias("prefix"), F.xxhash64(norm).alias("hash"))
+    dealt = rows.repartitionByRange("prefix", "hash", "id").withColumn("norm", norm).sortWithinPartitions("prefix", "hash", "norm", "id").select("row", "id", "points", "hash", "norm")
+    schema = T.StructType([rows.schema["row"], *(T.StructField(n, t) for n, t in (("id", T.LongType()), ("points", T.LongType()), ("part", T.IntegerType()), ("run", T.LongType()), ("edge", T.StringType())))])
+    best = scratch.keep(dealt.mapInArrow(_bests, schema), "best")
+    edges = best.filter(F.col("edge").isNotNull()).select("edge", F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("none"), "id", "part", "run").alias("candidate"))
+    winners = edges.groupBy("edge").agg(F.min("candidate").alias("winner"))
+    lost = scratch.keep(edges.join(winners, "edge").filter(F.col("candidate.part") * F.lit(1 << 40) + F.col("candidate.run") != F.col("winner.part") * F.lit(1 << 40) + F.col("winner.run")).select("candidate.part", "candidate.run"), "lost")
+    # two rows for each partition but for colliding hashes
+    return best.join(F.broadcast(lost), ["part", "run"], "left_anti").select("row.*")

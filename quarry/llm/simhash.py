@@ -10,11 +10,14 @@ one bit or less, so grouping the 65 neighbours of each and linking to the smalle
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import Scratch
 from quarry.llm.components import components
@@ -28,22 +31,32 @@ TABLES = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of a whole text: A-Z lowered, words between ASCII white space, word shingles with repeats, XXH64. No word: 0."""
+def _hashes(text: bytes, shingle: int):
+    """Hashes of a whole text's shingles, some at a time: A-Z lowered, words between ASCII white space, shingles with repeats, XXH64."""
     words = text.lower().split()
     if not words:
-        return 0
+        return
     size = min(shingle, len(words))
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - size + 1].tolist()
     stops = ends[size - 1 :].tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for lo in range(0, len(starts), CHUNK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[lo : lo + CHUNK], stops[lo : lo + CHUNK], strict=True)], np.uint64)
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int(np.packbits(2 * total > len(starts), bitorder="little").view(np.uint64)[0])
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[lo : lo + CHUNK], stops[lo : lo + CHUNK], strict=True)], np.uint64)
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of a whole text: a bit is set if it is in over half of the hashes. No word: 0."""
+    total, n = np.zeros(64, np.int64), 0
+    for h in _hashes(text, shingle):
+        total, n = total + _bit_counts(h), n + len(h)
+    return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(shingle: int):
@@ -62,27 +75,27 @@ ONES = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
 
 
 def bit_planes(prints: np.ndarray) -> np.ndarray:
-    """(64, words): bit j of word w of plane i is bit i of fingerprint 64 w + j. Missing ones are 0."""
-    padded = np.zeros(-(-len(prints) // 64) * 64, np.uint64)
+    """Of fingerprints (n, width) the planes (64 width, words): bit j of word w of plane i is bit i of fingerprint 64 w + j. Missing ones are 0."""
+    padded = np.zeros((-(-len(prints) // 64) * 64, prints.shape[1]), np.uint64)
     padded[: len(prints)] = prints
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8).reshape(len(padded), 8 * prints.shape[1]), axis=1, bitorder="little")
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
 
 
 def within(planes: np.ndarray, queries: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For block k, the lanes among ``lanes[k]`` whose distance to ``queries[k]`` is ``radius`` at most, as bits. ``planes``: (64, blocks)."""
-    width = (radius + 1).bit_length()
+    """For block k, the lanes among ``lanes[k]`` whose distance to ``queries[k]`` is ``radius`` at most, as bits. ``planes``: (bits, blocks)."""
+    width, last = (radius + 1).bit_length(), len(planes) - 1
     live, planes_now, q, valid = np.arange(len(queries)), planes, queries, lanes
     counters, over = [np.zeros(len(queries), np.uint64) for _ in range(width)], np.zeros(len(queries), np.uint64)
     out = np.zeros(len(queries), np.uint64)
-    for i in range(64):
-        carry = planes_now[i] ^ (np.uint64(0) - (q >> np.uint64(i) & np.uint64(1)))
+    for i in range(last + 1):
+        carry = planes_now[i] ^ (np.uint64(0) - (q[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)))
         for k in range(width):
             carry, counters[k] = counters[k] & carry, counters[k] ^ carry
         over |= carry
         if i % 8 == 7:
             near = valid & ~(over | _exceeds(counters, radius))
-            if i == 63:
+            if i == last:
                 out[live] = near
             elif (going := near != 0).mean() < 0.7:
                 live, planes_now, q, valid, over = live[going], planes_now[:, going], q[going], valid[going], over[going]
@@ -107,10 +120,10 @@ def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
 def _small(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
     """Position of each fingerprint's root in buckets of up to 64, a block each, all at once."""
     n, most = len(starts), int(sizes.max())
-    padded = np.zeros((n, 64), np.uint64)
+    padded = np.zeros((n, 64, prints.shape[1]), np.uint64)
     row, lane = np.repeat(np.arange(n), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     padded[row, lane] = prints[np.repeat(starts, sizes) + lane]
-    planes = bit_planes(padded.ravel())
+    planes = bit_planes(padded.reshape(n * 64, -1))
     lanes = ONES >> (np.uint64(64) - sizes.astype(np.uint64))
     near = np.zeros((most, n), np.uint64)
     for p in range(most):
@@ -131,36 +144,76 @@ def _small(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: in
     return starts[row] + first[lane, row]
 
 
-def _large(prints: np.ndarray, radius: int) -> np.ndarray:
-    """Position of each fingerprint's root in one bucket: components are grown, comparing what was just reached with what was not yet."""
-    root, left = np.arange(len(prints)), np.arange(len(prints))
-    planes = bit_planes(prints)
-    while len(left):
-        seed, left = left[0], left[1:]
-        front = np.array([seed])
-        planes = bit_planes(prints[left])
-        while len(front) and len(left):
-            own, rest = front[:64], front[64:]
-            words = planes.shape[1]
-            lanes = np.full(words, ONES)
-            if len(left) % 64:
-                lanes[-1] = ONES >> np.uint64(64 - len(left) % 64)
-            tiles = within(np.tile(planes, len(own)), np.repeat(prints[own], words), np.tile(lanes, len(own)), radius)
-            hit = np.bitwise_or.reduce(tiles.reshape(len(own), words), axis=0)
-            found = np.unpackbits(hit.view(np.uint8), bitorder="little")[: len(left)].astype(bool)
-            front = np.concatenate([rest, left[found]])
-            root[left[found]] = seed
-            if found.any():
-                left = left[~found]
-                planes = bit_planes(prints[left])
-    return root
-
-
-def _stars(radius: int):
+def _large(prints: np.ndarray, radius: int, at_once: int = 64) -> np.ndarray:
+    """Position of each fingerprint's root in one bucket.
+
+    Components are grown: what was just reached is compared with what was not yet, and new seeds join in when nothing else waits."""
+    n = len(prints)
+    parent, label = np.arange(n), np.arange(n)
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = int(parent[i])
+        return i
+
+    pool, planes, alive, front = np.arange(n), bit_planes(prints), np.ones(n, bool), np.zeros(0, np.int64)
+    while True:
+        if len(front) < at_once:
+            seeds = np.flatnonzero(alive)[: at_once - len(front)]
+            alive[seeds] = False
+            batch, front = np.concatenate([front, pool[seeds]]), front[:0]
+            if not len(batch):
+                break
+            apart = np.bitwise_count(prints[batch][:, None] ^ prints[batch][None]).sum(2, dtype=np.int64)
+            for i, j in np.argwhere(np.triu(apart <= radius, 1)):
+                parent[find(int(label[batch[i]]))] = find(int(label[batch[j]]))
+        else:
+            batch, front = front[:at_once], front[at_once:]
+        lanes = np.zeros(planes.shape[1] * 64, bool)
+        lanes[: len(alive)] = alive
+        lanes = np.packbits(lanes, bitorder="little").view(np.uint64)
+        words = np.flatnonzero(lanes)
+        if not len(words):
+            continue
+        tiles = within(np.tile(planes[:, words], len(batch)), np.repeat(prints[batch], len(words), axis=0), np.tile(lanes[words], len(batch)), radius)
+        hits = np.unpackbits(tiles.view(np.uint8).reshape(len(batch), 8 * len(words)), axis=1, bitorder="little").astype(bool)
+        found = np.flatnonzero(hits.any(0))
+        if not len(found):
+            continue
+        hits = hits[:, found]
+        by = hits.argmax(0)
+        for q in np.flatnonzero(hits.any(1)):
+            for other in np.unique(by[hits[q]]).tolist():
+                parent[find(int(label[batch[q]]))] = find(int(label[batch[other]]))
+        at = words[found // 64] * 64 + found % 64
+        label[pool[at]] = label[batch[by]]
+        alive[at] = False
+        front = np.concatenate([front, pool[at]])
+        if 2 * alive.sum() < len(pool):
+            pool = pool[alive]
+            planes, alive = bit_planes(prints[pool]), np.ones(len(pool), bool)
+    ends = np.array([find(int(x)) for x in label])
+    least = np.full(n, n)
+    np.minimum.at(least, ends, np.arange(n))
+    return least[ends]
+
+
+def _prints(column: pa.Array) -> np.ndarray:
+    """Fingerprints as (n, width) words."""
+    flat = column.flatten() if pa.types.is_list(column.type) else column
+    return flat.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(len(column), -1)
+
+
+def _column(prints: np.ndarray, wide: bool) -> pa.Array:
+    words = np.ascontiguousarray(prints).view(np.int64)
+    return pa.array(list(words), pa.list_(pa.int64())) if wide else pa.array(words.ravel())
+
+
+def _stars(radius: int, wide: bool = False):
     """Sorted rows of (key, fp) -> for each fingerprint that is linked in its bucket, the root there."""
 
-    def roots(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        prints = fp.view(np.uint64)
+    def roots(key: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
         root = np.arange(len(key))
@@ -174,13 +227,16 @@ def _stars(radius: int):
             s = slice(starts[k], starts[k] + sizes[k])
             root[s] = starts[k] + _large(prints[s], radius)
         linked = np.flatnonzero(root != np.arange(len(key)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([_column(prints[linked], wide), _column(prints[root[linked]], wide)], names=["u", "v"])
 
     def run(batches):
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key, fp = np.zeros(0, np.int64), None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             key = np.concatenate([key, batch.column("key").to_numpy()])
-            fp = np.concatenate([fp, batch.column("fp").to_numpy()])
+            own = _prints(batch.column("fp"))
+            fp = own if fp is None else np.concatenate([fp, own])
             whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on
             if whole:
                 yield roots(key[:whole], fp[:whole])
@@ -206,6 +262,69 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, bucket_li
     return cold.mapInArrow(_stars(radius), "u long, v long").union(stars if radius == 2 else stars.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)).filter("u != v")
 
 
+# --- similarity of 0.8 and more, by wider fingerprints ---
+
+WIDE_SHINGLE, SIMILARITY, WIDE_WORDS, WIDE_TABLES = 5, 0.8, 4, 24
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """Differing bits to expect between texts whose shingle sets have that Jaccard similarity: their cosine is 2 s / (1 + s)."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _wide_links(distinct: DataFrame, scratch: Scratch, n: int, radius: int, tables: int, bucket_limit: int) -> DataFrame:
+    """Edges between fingerprints (arrays of words) at most ``radius`` bits apart that meet in a table.
+
+    Each table samples some bits, six fewer than ``n`` takes, so buckets stay at about 64. A larger bucket
+    than ``bucket_limit`` is dealt into parts, and every two parts meet in a tile of their own."""
+    bits = max(4, n.bit_length() - 6)
+
+    def keys(batches):
+        chosen = [np.random.default_rng(t).permutation(64 * WIDE_WORDS)[:bits] for t in range(tables)]
+        for batch in batches:
+            prints = _prints(batch.column("fp"))
+            own = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+            for t, at in enumerate(chosen):
+                key = (t << 48) + own[:, at].astype(np.int64) @ (1 << np.arange(bits))
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("fp")], names=["key", "fp"])
+
+    placed = distinct.select("fp").mapInArrow(keys, "key long, fp array<long>")
+    sizes = placed.groupBy("key").agg(F.count("*").alias("n"))
+    hot = scratch.keep(sizes.filter(F.col("n") > bucket_limit), "hot")
+    if hot.isEmpty():
+        dealt = placed.withColumn("tile", F.lit(0))
+    else:
+        parted = placed.join(hot, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / bucket_limit), F.lit(1)).cast("int"))
+        parted = parted.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+        dealt = parted.select("key", "fp", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("tile"))
+    sorted_ = dealt.select(F.when(F.col("tile") == 0, F.col("key")).otherwise(F.xxhash64("key", "tile")).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    return sorted_.mapInArrow(_stars(radius, True), "u array<long>, v array<long>")
+
+
+def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> np.ndarray:
+    """SimHash of 64 ``words`` bits: the shingles' hashes are mixed anew for each word."""
+    hashes = np.concatenate([np.zeros(0, np.uint64), *_hashes(text, shingle)])
+    out = np.zeros(words, np.uint64)
+    for j in range(words):
+        total = np.zeros(64, np.int64)
+        for lo in range(0, len(hashes), CHUNK):
+            x = hashes[lo : lo + CHUNK] + np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (1 << 64) - 1)
+            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            total += _bit_counts(x ^ x >> np.uint64(31))
+        out[j] = np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def _named(prints: DataFrame, scratch: Scratch, link) -> DataFrame:
+    """fp and the first row of its component: ``first`` holds whether it has no id, its id and its fp. Of rows (id, fp); ``link`` gives the edges between distinct fingerprints."""
+    first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("fp"))
+    distinct = scratch.keep(prints.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
+    rooted = components(link(distinct), scratch)
+    labelled = distinct.join(rooted.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return scratch.keep(labelled.join(labelled.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", F.col("least").alias("first")), "named")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """One row for each row of ``df``: id, fingerprint (16 lowercase hex digits), component_id.
 
@@ -216,9 +335,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(df.sparkSession, "simhash")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     prints = scratch.keep(docs.mapInArrow(_fingerprints(shingle), "id long, fp long"), "prints")
-    distinct = scratch.keep(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    rooted = components(links(distinct, scratch, bucket_limit=bucket_limit), scratch)
-    labelled = distinct.join(rooted.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = labelled.join(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    named = scratch.keep(named, "named")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _named(prints, scratch, lambda distinct: links(distinct, scratch, bucket_limit=bucket_limit))
+    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
+
+
+def _with_fingerprints(id_at: str, text_at: str):
+    def run(batches):
+        for batch in batches:
+            row = batch.column("row")
+            texts = row.field(text_at).cast(pa.string()).cast(pa.binary())
+            prints = [wide_fingerprint(x.as_py() or b"").view(np.int64) for x in texts]
+            yield pa.RecordBatch.from_arrays([row, row.field(id_at).cast(pa.int64()), pa.array(prints, pa.list_(pa.int64()))], names=["row", "id", "fp"])
+
+    return run
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, tables: int = WIDE_TABLES, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns: of each group of near copies that of the smallest id.
+
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more, as estimated
+    by SimHashes of 256 bits: two are linked if they differ in no more bits than that similarity lets expect, and agree
+    in the sampled bits of one of ``tables`` tables. Both are matters of chance: README has measured shares.
+    Null and empty texts are alike. Null ids come last, and of them the smallest fingerprint stays. Rows that share
+    both id and fingerprint with the one that stays are the same document twice and stay with it."""
+    scratch = Scratch(df.sparkSession, "representatives")
+    packed = df.select(F.struct("*").alias("row"))
+    schema = T.StructType([packed.schema["row"], T.StructField("id", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType()))])
+    rows = scratch.keep(packed.mapInArrow(_with_fingerprints(id_col, text_col), schema), "rows")
+    radius = radius_of(similarity, 64 * WIDE_WORDS)
+    named = _named(rows.select("id", "fp"), scratch, lambda distinct: _wide_links(distinct, scratch, distinct.count(), radius, tables, bucket_limit))
+    stay = named.filter(F.col("fp") == F.col("first.fp")).select(F.col("first.id").alias("stay_id"), F.col("fp").alias("stay_fp"))
+    return rows.join(stay, (F.col("fp") == F.col("stay_fp")) & F.col("id").eqNullSafe(F.col("stay_id")), "left_semi").select("row.*")
