@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 _DOT = "aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
@@ -20,6 +22,16 @@ FUNCTIONS = {
 }
 
 
+def inlined(name: str, arguments: list[str]) -> str | None:
+    """The body of a function with its arguments in place: the analyser takes no SQL function in a sort key."""
+    for head, body in FUNCTIONS.items():
+        if head.startswith(f"{name.lower()}("):
+            kinds = dict(re.findall(r"(\w+) (VARIANT|STRING|ARRAY<DOUBLE>)", head.partition(" RETURNS")[0]))
+            given = dict(zip(kinds, arguments, strict=True))
+            return "(" + re.sub(r"'[^']*'|\b(?:" + "|".join(given) + r")\b", lambda m: f"CAST({given[m[0]]} AS {kinds[m[0]]})" if m[0] in given and kinds[m[0]] != "STRING" else given.get(m[0], m[0]), body) + ")"
+    return None
+
+
 def register(spark: SparkSession) -> None:
     """Makes the functions known to ``spark``; doing it again changes nothing."""
     for head, body in FUNCTIONS.items():

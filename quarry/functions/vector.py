@@ -48,7 +48,7 @@ def vector_literal(values: list[float]) -> Column:
 def vector_problem(column: Column) -> Column:
     """What is wrong with a vector column's value, NULL if nothing is: length, missing or non-finite components."""
     odd = F.exists(column, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(math.inf)))
-    return F.when(F.size(column) < 1, "a vector needs a component").when(F.size(column) > MAX_DIMENSIONS, f"a vector has {MAX_DIMENSIONS} components at most").when(odd, "a vector needs finite numbers")
+    return F.when(column.isNull(), None).when(F.size(column) < 1, "a vector needs a component").when(F.size(column) > MAX_DIMENSIONS, f"a vector has {MAX_DIMENSIONS} components at most").when(odd, "a vector needs finite numbers")
 
 
 def dense_vector(value: Any, field: str = "vector") -> list[float]:

@@ -227,7 +227,7 @@ class Transaction:
         if arity(sql) != len(params):
             raise ParseError(f"the statement takes {arity(sql)} parameters, not {len(params)}")
         kinds = {c["name"].lower(): Column(**c).family for t in self.tables.values() for c in t["columns"]}
-        text = st.order_nulls(st.named_by_text(st.typed_calls(sql, kinds)))
+        text = st.order_nulls(st.typed_calls(st.named_by_text(sql), kinds))
         text = st.null_equal(text) if self.session.null_equal else text
         names = [n for n in self.tables if re.search(rf"\b{re.escape(n)}\b", sql)]
         with self.session.lock:

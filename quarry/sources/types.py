@@ -80,7 +80,7 @@ def check_table(df: DataFrame, columns: list[Column]) -> None:
     """Keys are unique, each key column by itself, and a vector column has one dimension: one aggregate for all columns."""
     sizes = {c.name: F.col(f"`{c.name}`") if c.family == "vector" else F.col(f"`{c.name}`.embedding") for c in columns if c.family in ("vector", "document")}
     if sizes:
-        row = df.agg(*[F.min(F.size(v)).alias(f"low_{n}") for n, v in sizes.items()], *[F.max(F.size(v)).alias(f"high_{n}") for n, v in sizes.items()]).first()
+        row = df.agg(*[F.min(F.when(v.isNotNull(), F.size(v))).alias(f"low_{n}") for n, v in sizes.items()], *[F.max(F.when(v.isNotNull(), F.size(v))).alias(f"high_{n}") for n, v in sizes.items()]).first()
         for n in sizes:
             if row[f"low_{n}"] != row[f"high_{n}"]:
                 raise ConstraintError(f"{n}: vector dimension mismatch ({row[f'low_{n}']} and {row[f'high_{n}']})")
