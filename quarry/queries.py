@@ -181,9 +181,9 @@ def _(s, d):
     return equi_join(n, n, "n_regionkey", "n_regionkey", "a", "b", False).filter(F.col("`a.n_nationkey`") < F.col("`b.n_nationkey`")).select(F.col("`a.n_name`").alias("a"), F.col("`b.n_name`").alias("b"))
 
 
-@query("join_outer", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey")
+@query("join_outer", "SELECT c_custkey, coalesce(o_orderkey, -1) AS o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey")
 def _(s, d):
-    return equi_join(read(s, d, "customer"), read(s, d, "orders").filter("o_totalprice > 400000"), "c_custkey", "o_custkey", "c", "o", False, "left").select(F.col("`c.c_custkey`").alias("c_custkey"), F.col("`o.o_orderkey`").alias("o_orderkey"))
+    return equi_join(read(s, d, "customer"), read(s, d, "orders").filter("o_totalprice > 400000"), "c_custkey", "o_custkey", "c", "o", False, "left").select(F.col("`c.c_custkey`").alias("c_custkey"), F.coalesce("`o.o_orderkey`", F.lit(-1)).alias("o_orderkey"))
 
 
 @query("join_semi_anti", "SELECT c_custkey, 'with' AS orders FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'without' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
