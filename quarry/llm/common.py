@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +19,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "quarry-shared")
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package wherever they run: its sources go along once for each Spark context."""
+    context = spark.sparkContext
+    if not getattr(context, "_quarry_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        path = os.path.join(tempfile.mkdtemp(prefix="quarry-"), "quarry-sources.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(root)))
+        context.addPyFile(path)
+        context._quarry_shipped = True
+
+
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet under :func:`shared_dir`.
 
     A written table cuts the lineage: losing an executor never re-runs what stands before it."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

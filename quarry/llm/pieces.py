@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import Recent
+from quarry.llm.common import Recent, ship
 
 MARK = "▁"
 #: Fixed values of the model file: types of pieces, types of models, and how much worse than the worst piece an unknown character is.
@@ -228,6 +228,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str
 
     All columns and repeated rows stay; a column named ``ids_col`` is replaced. Texts of any length are encoded whole. The
     model's file is read on the driver."""
+    ship(df.sparkSession)
     data = _model(model_path)
     base = df.drop(ids_col)
 
@@ -242,6 +243,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with the text of each array of ids; null for null, empty for empty. A column named ``text_col`` is replaced."""
+    ship(df.sparkSession)
     data = _model(model_path)
     base = df.drop(text_col)
 

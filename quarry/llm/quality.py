@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import ship
+
 #: Byte classes whose shares of the text are features.
 CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "shout": b"!?", "bar": b"|", "sign": b"#$%&*@^~<>{}[]\\_=+`",
@@ -162,6 +164,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Of those, ``fit_rows`` at most, the ids first in the order of a hash, and so a sample that does not follow
     the ids; an id that is labelled twice gives its larger label; rows without an id or a label do not count.
     What is collected is a row of numbers for each."""
+    ship(df.sparkSession)
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("id")).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     joined = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # fit_rows rows of two numbers
     rows = joined.select("label", "text").mapInArrow(_measured, "label int, x array<double>").toPandas()
@@ -190,6 +193,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     Null texts count as empty, and empty texts are scored like any other. Repeated rows and null ids each have a row.
     An empty table gives no rows. Texts are read whole. Other columns are not read."""
+    ship(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(_scorer(model), f"id {rows.schema['id'].dataType.simpleString()}, score double")
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -206,5 +210,6 @@ def _keeper(model: Model, threshold: float):
 
 def accepted(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of ``df``, with all their columns, that score ``threshold`` or more."""
+    ship(df.sparkSession)
     return df.withColumn("__text", F.col(f"`{text_col}`").cast("string")).mapInArrow(_keeper(model, threshold), df.schema)
 

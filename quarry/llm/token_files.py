@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch
+from quarry.llm.common import Scratch, ship
 from quarry.llm.range_coder import decode, encode
 from quarry.llm.token_ids import loaded
 
@@ -94,6 +94,7 @@ def write_files(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "do
 
     A null text is empty; every document ends with ``end_id``. Rows of one id are ordered by their text. An empty table
     makes a folder without blocks. Other columns are not read. ``id_col`` holds integers."""
+    ship(df.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -150,6 +151,7 @@ def _join_crc(batches):
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    ship(spark)
     return spark.read.schema("file int, block int, payload binary").parquet(path)
 
 
