@@ -124,18 +124,38 @@ def _segments(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file", "ordinal", "id", "before", "at", "n", "crc"])
 
 
-def crc32_joined(crc: int, other: int, length: int) -> int:
-    """CRC-32 of two strings one after the other, from that of each and the ``length`` in bytes of the second.
+def _times(matrix: list[int], register: int) -> int:
+    """A CRC register through a linear map, given by what it makes of each bit."""
+    out = 0
+    for column in matrix:
+        if register & 1:
+            out ^= column
+        register >>= 1
+    return out
+
+
+def _zeros() -> list[list[int]]:
+    """What 1, 2, 4, ... zero bytes make of a register: the first from the polynomial, the others by squaring."""
+    step = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit
+    out = []
+    for power in range(3 + 48):
+        if power >= 3:
+            out.append(step)
+        step = [_times(step, x) for x in step]
+    return out
+
 
-    ``length`` zero bytes are a linear map of the register; its powers of two are squared up."""
-    times = lambda m, v: int(np.bitwise_xor.reduce(m[[i for i in range(32) if v >> i & 1]], initial=0))
-    square = lambda m: np.array([times(m, int(x)) for x in m], np.uint64)
-    step = square(square(square(np.array([0xEDB88320, *(1 << i for i in range(31))], np.uint64))))  # one zero byte
-    while length:
+ZEROS = _zeros()
+
+
+def crc32_joined(crc: int, other: int, length: int) -> int:
+    """CRC-32 of two strings one after the other, from that of each and the ``length`` in bytes of the second."""
+    for matrix in ZEROS:
         if length & 1:
-            crc = times(step, crc)
+            crc = _times(matrix, crc)
         length >>= 1
-        step = square(step) if length else step
+        if not length:
+            break
     return crc ^ other
 
 
