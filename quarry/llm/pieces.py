@@ -88,7 +88,7 @@ class Definition:
 class Machine:
     """The compiled transducer. ``cache`` bounds the chunks whose paths are kept."""
 
-    def __init__(self, definition: Definition, cache: int = 300_000):
+    def __init__(self, definition: Definition, cache: int = 250_000):
         self.definition = definition
         self.text = [p for p, _, _ in definition.pieces]
         self.id = {p: i for i, (p, _, kind) in enumerate(definition.pieces) if kind == NORMAL}
@@ -116,6 +116,9 @@ class Machine:
         self.splits = all(MARK not in p.lstrip(MARK) for p in self.id)
         alone = "\n" if not any("\n" in p and len(p) > 1 for p in self.id) else ""
         self.chunk = re.compile(f"[{alone}]|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        # two characters that no piece has side by side are never joined: a text falls apart between them
+        self.beside = {(a, b) for p in self.id for a, b in zip(p, p[1:], strict=False)}
+        self.raw = [bytes([self.value[i]]) if i in self.value else b"" if i in self.silent else None if i == self.unknown else p.replace(MARK, " ").encode() for i, p in enumerate(self.text)]
         self.agree = Recent(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], cache)
         self.known = Recent(self._ids, cache)
 
@@ -137,7 +140,7 @@ class Machine:
 
     def path(self, text: str) -> list[str]:
         """Pieces and lone characters on the shortest path through the lattice of ``text``."""
-        n = len(text)
+        n, arcs, final, step = len(text), self.arcs, self.final, self.step
         cost: list[float] = [0.0] + [math.inf] * n
         back: list[str | None] = [None] * (n + 1)
         for i in range(n):
@@ -145,12 +148,13 @@ class Machine:
             if here == math.inf:
                 continue
             state, j, last = 0, i, back[i]
-            while j < n and (nxt := self.arcs[state].get(text[j])) is not None:
-                state, j = nxt, j + 1
-                if (piece := self.final[state]) is not None and (now := here + self.step(last, piece)) < cost[j]:
+            while j < n and (state := arcs[state].get(text[j], -1)) >= 0:
+                j += 1
+                # weights are not negative, so a place reached as cheaply already needs no look
+                if (piece := final[state]) is not None and here < cost[j] and (now := here + step(last, piece)) < cost[j]:
                     cost[j], back[j] = now, piece
             c = text[i]
-            if c not in self.id and (now := here + self.step(last, c)) < cost[i + 1]:
+            if c not in self.id and here < cost[i + 1] and (now := here + step(last, c)) < cost[i + 1]:
                 cost[i + 1], back[i + 1] = now, c
         out, i = [], n
         while i:
@@ -159,6 +163,9 @@ class Machine:
         return out[::-1]
 
     def _ids(self, chunk: str) -> bytes:
+        cuts = [i for i, pair in enumerate(zip(chunk, chunk[1:], strict=False), 1) if pair not in self.beside] if self.is_bpe else []
+        if cuts:
+            return b"".join([self.known[chunk[a:b]] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)])
         out: list[int] = []
         for piece in self.path(chunk):
             if piece in self.id:
@@ -179,6 +186,14 @@ class Machine:
 
     def decode(self, ids) -> str:
         """Text of ids; ids of control pieces write nothing, the unknown one writes U+2047 between spaces, and bytes that make no character U+FFFD each."""
+        try:
+            text = b"".join(map(self.raw.__getitem__, ids)).decode()
+            return text[1:] if self.definition.dummy_prefix and text.startswith(" ") and self.text[ids[0]].startswith(MARK) else text
+        except (TypeError, UnicodeDecodeError):
+            return self._decode_odd(ids)
+
+    def _decode_odd(self, ids) -> str:
+        """Decoding where bytes make no character or unknown pieces stand."""
         out: list[str] = []
         raw = bytearray()
 
@@ -260,7 +275,24 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
-@F.pandas_udf(T.LongType())
-def ids_crc32(ids):
-    """CRC-32 of ids as little-endian unsigned 32-bit integers; of null as of none."""
-    return ids.map(lambda x: zlib.crc32(np.asarray(x if x is not None else [], "<u4").tobytes()))
+def summaries(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``df``: id, n_ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and whether decoding gives the text again.
+
+    Null texts count as empty. Encoding and decoding run in one worker, with one machine. Other columns are not read."""
+    ship(df.sparkSession)
+    data = _model(model_path)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        own = machine(data)
+        for batch in batches:
+            n, crcs, same = [], [], []
+            for text in batch.column("text").to_pylist():
+                ids = own.encode(text or "")
+                n.append(len(ids))
+                crcs.append(zlib.crc32(ids.tobytes()))
+                same.append(own.decode(ids.tolist()) == (text or ""))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(crcs, pa.int64()), pa.array(same, pa.bool_())], names=["id", "n_ids", "ids_crc32", "round_trip"])
+
+    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_ids long, ids_crc32 long, round_trip boolean")
+    return out.withColumnRenamed("id", id_col)

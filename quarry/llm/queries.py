@@ -25,10 +25,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    both = pieces.decode(encoded, model)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), pieces.ids_crc32("ids").alias("ids_crc32"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    return pieces.summaries(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
