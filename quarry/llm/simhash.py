@@ -219,8 +219,9 @@ def _stars(radius: int, wide: bool = False):
         root = np.arange(len(key))
         for low, high in ((2, 4), (5, 16), (17, 64)):
             these = np.flatnonzero((sizes >= low) & (sizes <= high))
-            for lo in range(0, len(these), 8192):
-                pick = these[lo : lo + 8192]
+            at_once = max(64, 4096 // prints.shape[1])  # a bucket takes 64 x 64 bytes for each word while it is turned into planes
+            for lo in range(0, len(these), at_once):
+                pick = these[lo : lo + at_once]
                 at = np.repeat(starts[pick], sizes[pick]) + np.arange(sizes[pick].sum()) - np.repeat(np.cumsum(sizes[pick]) - sizes[pick], sizes[pick])
                 root[at] = _small(prints, starts[pick], sizes[pick], radius)
         for k in np.flatnonzero(sizes > 64):
@@ -264,12 +265,15 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, bucket_li
 
 # --- similarity of 0.8 and more, by wider fingerprints ---
 
-WIDE_SHINGLE, SIMILARITY, WIDE_WORDS, WIDE_TABLES = 5, 0.8, 4, 24
+WIDE_SHINGLE, SIMILARITY, WIDE_WORDS, WIDE_TABLES = 5, 0.8, 8, 24
 
 
 def radius_of(similarity: float, bits: int) -> int:
-    """Differing bits to expect between texts whose shingle sets have that Jaccard similarity: their cosine is 2 s / (1 + s)."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """Differing bits up to which texts count as so similar, by the Jaccard measure of their shingle sets.
+
+    Their cosine is 2 s / (1 + s); to the bits that it lets expect, 0.8 standard deviations are added, so that most pairs at ``similarity`` itself are found."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + 0.8 * math.sqrt(bits * share * (1 - share)))
 
 
 def _wide_links(distinct: DataFrame, scratch: Scratch, n: int, radius: int, tables: int, bucket_limit: int) -> DataFrame:
@@ -302,8 +306,8 @@ def _wide_links(distinct: DataFrame, scratch: Scratch, n: int, radius: int, tabl
 
 
 def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> np.ndarray:
-    """SimHash of 64 ``words`` bits: the shingles' hashes are mixed anew for each word."""
-    hashes = np.concatenate([np.zeros(0, np.uint64), *_hashes(text, shingle)])
+    """SimHash of 64 ``words`` bits over the set of shingles: their hashes are mixed anew for each word."""
+    hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, shingle)]))
     out = np.zeros(words, np.uint64)
     for j in range(words):
         total = np.zeros(64, np.int64)
@@ -322,7 +326,9 @@ def _named(prints: DataFrame, scratch: Scratch, link) -> DataFrame:
     distinct = scratch.keep(prints.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
     rooted = components(link(distinct), scratch)
     labelled = distinct.join(rooted.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    return scratch.keep(labelled.join(labelled.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", F.col("least").alias("first")), "named")
+    # written, so that the join stands on two plain shuffles and a root of very many fingerprints can be split
+    least = scratch.keep(labelled.groupBy("root").agg(F.min("first").alias("least")), "least")
+    return scratch.keep(labelled.join(least, "root").select("fp", F.col("least").alias("first")), "named")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -354,7 +360,7 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of ``df`` that stay, with all their columns: of each group of near copies that of the smallest id.
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more, as estimated
-    by SimHashes of 256 bits: two are linked if they differ in no more bits than that similarity lets expect, and agree
+    by SimHashes of 512 bits: two are linked if they differ in no more bits than :func:`radius_of` says, and agree
     in the sampled bits of one of ``tables`` tables. Both are matters of chance: README has measured shares.
     Null and empty texts are alike. Null ids come last, and of them the smallest fingerprint stays. Rows that share
     both id and fingerprint with the one that stays are the same document twice and stay with it."""

@@ -33,7 +33,7 @@ def _byte_letters() -> dict[int, str]:
 class TokenIds:
     """Ids of a text as little-endian bytes of ``dtype``; built from the text of a tokenizer file."""
 
-    def __init__(self, definition: str, cache: int = 600_000):
+    def __init__(self, definition: str, cache: int = 250_000):
         import numpy as np
 
         self.library = Tokenizer.from_str(definition)
