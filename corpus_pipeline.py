@@ -28,7 +28,7 @@ def exact_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by SimHash, that of the smallest id."""
+    """Of documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more, linked transitively, that of the smallest id."""
     return representatives(docs)
 
 
@@ -46,7 +46,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", good_quality),
     ("exact dedup", exact_once),
-    ("SimHash near-dedup", near_once),
+    ("near-dedup", near_once),
     ("secret scans", no_secrets),
     ("best-fit packing", packed),
 ]

@@ -1,4 +1,4 @@
-"""Near-duplicates by SimHash, compared bit-sliced.
+"""Near-duplicates by SimHash, compared bit-sliced; and by the Jaccard similarity of shingle sets.
 
 Distinct fingerprints meet in buckets of two equal quarters: with at most two differing bits, two of the
 four quarters are equal, so six tables of buckets miss no link. In a bucket, fingerprints are stored
@@ -10,7 +10,8 @@ one bit or less, so grouping the 65 neighbours of each and linking to the smalle
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -200,17 +201,15 @@ def _large(prints: np.ndarray, radius: int, at_once: int = 64) -> np.ndarray:
 
 
 def _prints(column: pa.Array) -> np.ndarray:
-    """Fingerprints as (n, width) words."""
-    flat = column.flatten() if pa.types.is_list(column.type) else column
-    return flat.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(len(column), -1)
+    """Fingerprints as (n, 1) words."""
+    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(len(column), -1)
 
 
-def _column(prints: np.ndarray, wide: bool) -> pa.Array:
-    words = np.ascontiguousarray(prints).view(np.int64)
-    return pa.array(list(words), pa.list_(pa.int64())) if wide else pa.array(words.ravel())
+def _column(prints: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(prints).view(np.int64).ravel())
 
 
-def _stars(radius: int, wide: bool = False):
+def _stars(radius: int):
     """Sorted rows of (key, fp) -> for each fingerprint that is linked in its bucket, the root there."""
 
     def roots(key: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
@@ -228,7 +227,7 @@ def _stars(radius: int, wide: bool = False):
             s = slice(starts[k], starts[k] + sizes[k])
             root[s] = starts[k] + _large(prints[s], radius)
         linked = np.flatnonzero(root != np.arange(len(key)))
-        return pa.RecordBatch.from_arrays([_column(prints[linked], wide), _column(prints[root[linked]], wide)], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([_column(prints[linked]), _column(prints[root[linked]])], names=["u", "v"])
 
     def run(batches):
         key, fp = np.zeros(0, np.int64), None
@@ -263,61 +262,133 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, bucket_li
     return cold.mapInArrow(_stars(radius), "u long, v long").union(stars if radius == 2 else stars.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)).filter("u != v")
 
 
-# --- similarity of 0.8 and more, by wider fingerprints ---
+# --- similarity of 0.8 and more: bands of MinHash values find candidates, the shingle sets themselves decide ---
 
-WIDE_SHINGLE, SIMILARITY, WIDE_WORDS, WIDE_TABLES = 5, 0.8, 8, 24
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: Least values in a band, and bands. Two sets of similarity s share no band with a chance of (1 - s^7)^48, whatever the number of texts: 1.3e-5 at 0.8.
+BAND, TABLES_OF_BANDS = 7, 48
+#: Shingles in a part of a group of candidates: two parts are compared at once, in a task's memory.
+PART_SHINGLES = 1 << 20
 
 
-def radius_of(similarity: float, bits: int) -> int:
-    """Differing bits up to which texts count as so similar, by the Jaccard measure of their shingle sets.
+def shingle_set(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a whole text's shingles."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, shingle)]))
 
-    Their cosine is 2 s / (1 + s); to the bits that it lets expect, 0.8 standard deviations are added, so that most pairs at ``similarity`` itself are found."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + 0.8 * math.sqrt(bits * share * (1 - share)))
 
+@lru_cache(4)
+def _functions(n: int) -> list[np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    return [rng.integers(0, 1 << 32, (n, 1), np.uint32), *(rng.integers(0, 1 << 31, (n, 1), np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))]
 
-def _wide_links(distinct: DataFrame, scratch: Scratch, n: int, radius: int, tables: int, bucket_limit: int) -> DataFrame:
-    """Edges between fingerprints (arrays of words) at most ``radius`` bits apart that meet in a table.
 
-    Each table samples some bits, six fewer than ``n`` takes, so buckets stay at about 64. A larger bucket
-    than ``bucket_limit`` is dealt into parts, and every two parts meet in a tile of their own."""
-    bits = max(4, n.bit_length() - 6)
+def band_keys(hashes: np.ndarray, tables: int = TABLES_OF_BANDS) -> np.ndarray:
+    """A key for each band: the least values of the set under ``BAND`` functions of its own, hashed. No shingle: no key."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    flips, first, second = _functions(BAND * tables)
+    low, least = hashes.astype(np.uint32), np.full(BAND * tables, 0xFFFF_FFFF, np.uint32)
+    for lo in range(0, len(low), 512):
+        x = low[lo : lo + 512] ^ flips
+        x *= first
+        x ^= x >> np.uint32(15)
+        x *= second
+        np.minimum(least, x.min(1), out=least)
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), t) for t, band in enumerate(least.reshape(tables, BAND))], np.uint64).view(np.int64)
 
-    def keys(batches):
-        chosen = [np.random.default_rng(t).permutation(64 * WIDE_WORDS)[:bits] for t in range(tables)]
+
+def _ratio(similarity: float) -> tuple[int, int]:
+    return Fraction(str(similarity)).as_integer_ratio()
+
+
+def alike(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """For each set the position of one that stands for its component, where sets of Jaccard ``similarity`` or more are linked. Exact.
+
+    Such sets share one of their rarest shingles: of n, all but the commonest ceil(similarity n) - 1. Components
+    are grown from seeds, and what was reached is not compared again, so a large group of copies takes no pairs."""
+    num, den = _ratio(similarity)
+    root, sizes = np.arange(len(sets)), np.array([len(x) for x in sets], np.int64)
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(counts), np.int64)
+    place[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    counts = np.sort(counts)
+    ranks = [np.sort(x) for x in np.split(place[at], np.cumsum(sizes)[:-1])]
+    prefixes = [r[: n - -(-num * n // den) + 1] for r, n in zip(ranks, sizes.tolist(), strict=True)]
+    prefixes = [p[counts[p] > 1] for p in prefixes]  # a shingle of one set meets none
+    inside, alive, waiting, indexed = np.zeros(len(counts), bool), np.ones(len(sets), bool), [], 0
+    for seed in range(len(sets)):
+        if not alive[seed]:
+            continue
+        alive[seed] = False
+        waiting.append(seed)
+        while waiting:
+            if (left := int(alive.sum())) == 0:
+                return root
+            if not indexed or 2 * left < indexed:
+                live = np.flatnonzero(alive)
+                indexed = left
+                tokens = np.concatenate([prefixes[i] for i in live])
+                order = np.argsort(tokens, kind="stable")
+                tokens, holders = tokens[order], np.repeat(live, [len(prefixes[i]) for i in live])[order]
+            x = waiting.pop()
+            lo, hi = np.searchsorted(tokens, prefixes[x]), np.searchsorted(tokens, prefixes[x], "right")
+            met = [holders[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if a < b]
+            if not met:
+                continue
+            met = np.unique(np.concatenate(met))
+            met = met[alive[met] & (den * sizes[met] >= num * sizes[x]) & (den * sizes[x] >= num * sizes[met])]
+            inside[ranks[x]] = True
+            for y in met.tolist():
+                both = int(inside[ranks[y]].sum())
+                if den * both >= num * int(sizes[x] + sizes[y] - both):
+                    alive[y] = False
+                    root[y] = root[x]
+                    waiting.append(y)
+            inside[ranks[x]] = False
+    return root
+
+
+def _alike_in_tiles(similarity: float):
+    """Rows of (tile, fp, text), sorted by tile -> for each text that is linked in its tile, the fp that stands for its component there."""
+
+    def edges(prints: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
+        root = alike(sets, similarity) if len(sets) > 1 else np.zeros(len(sets), np.int64)
+        linked = np.flatnonzero(root != np.arange(len(sets))).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([prints[i] for i in linked], pa.binary()), pa.array([prints[root[i]] for i in linked], pa.binary())], names=["u", "v"])
+
+    def run(batches):
+        now, prints, sets = None, [], []
         for batch in batches:
-            prints = _prints(batch.column("fp"))
-            own = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
-            for t, at in enumerate(chosen):
-                key = (t << 48) + own[:, at].astype(np.int64) @ (1 << np.arange(bits))
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("fp")], names=["key", "fp"])
-
-    placed = distinct.select("fp").mapInArrow(keys, "key long, fp array<long>")
-    sizes = placed.groupBy("key").agg(F.count("*").alias("n"))
-    hot = scratch.keep(sizes.filter(F.col("n") > bucket_limit), "hot")
-    if hot.isEmpty():
-        dealt = placed.withColumn("tile", F.lit(0))
-    else:
-        parted = placed.join(hot, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / bucket_limit), F.lit(1)).cast("int"))
-        parted = parted.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        dealt = parted.select("key", "fp", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("tile"))
-    sorted_ = dealt.select(F.when(F.col("tile") == 0, F.col("key")).otherwise(F.xxhash64("key", "tile")).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    return sorted_.mapInArrow(_stars(radius, True), "u array<long>, v array<long>")
-
-
-def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> np.ndarray:
-    """SimHash of 64 ``words`` bits over the set of shingles: their hashes are mixed anew for each word."""
-    hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, shingle)]))
-    out = np.zeros(words, np.uint64)
-    for j in range(words):
-        total = np.zeros(64, np.int64)
-        for lo in range(0, len(hashes), CHUNK):
-            x = hashes[lo : lo + CHUNK] + np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (1 << 64) - 1)
-            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-            total += _bit_counts(x ^ x >> np.uint64(31))
-        out[j] = np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0]
-    return out
+            for tile, fp, text in zip(batch.column("tile").to_pylist(), batch.column("fp").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                if tile != now:
+                    if len(sets) > 1:
+                        yield edges(prints, sets)
+                    now, prints, sets = tile, [], []
+                prints.append(bytes(fp))
+                sets.append(shingle_set(text.as_py() or b""))
+        if len(sets) > 1:
+            yield edges(prints, sets)
+
+    return run
+
+
+def _set_links(rows: DataFrame, text_col: str, scratch: Scratch, similarity: float, bucket_limit: int) -> DataFrame:
+    """Edges between fingerprints of sets, of rows (row, fp, size, bands), that connect all that are similar and share a band.
+
+    Sets that bands connect form a group, and each of a group's texts is read once for each tile. A group of more
+    sets than ``bucket_limit``, or of very many shingles, is dealt into parts, and every two parts meet in a tile of their own."""
+    short = F.xxhash64("fp")  # where two sets share it, groups are only larger
+    placed = rows.select(short.alias("u"), F.explode("bands").alias("key"))
+    met = placed.groupBy("key").agg(F.min("u").alias("v"), F.max("u").alias("w")).filter("v < w").select("key", "v")
+    groups = scratch.keep(components(placed.join(met, "key").select("u", "v"), scratch), "groups")
+    texts = rows.select("fp", "size", F.col("row")[text_col].cast("string").alias("text")).withColumn("vertex", short).join(groups, "vertex")
+    members = scratch.keep(texts.select("root", "fp", "size", "text").dropDuplicates(["fp"]), "members")
+    parts = F.greatest(F.ceil(F.count("*") / bucket_limit), F.ceil(F.sum("size") / PART_SHINGLES)).cast("int")
+    parted = members.select("root", "fp", "text").join(members.groupBy("root").agg(parts.alias("parts")), "root")
+    parted = parted.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    # two parts or more: their own tiles are left out, every other tile compares a part within itself as well
+    dealt = parted.filter("own != other OR parts = 1").select(F.concat_ws(":", F.col("root"), F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "fp", "text")
+    return dealt.repartition("tile").sortWithinPartitions("tile", "fp").mapInArrow(_alike_in_tiles(similarity), "u binary, v binary")
 
 
 def _named(prints: DataFrame, scratch: Scratch, link) -> DataFrame:
@@ -345,30 +416,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
-def _with_fingerprints(id_at: str, text_at: str):
+def _with_sets(id_at: str, text_at: str, tables: int):
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(lo, 1024) for whole in batches for lo in range(0, whole.num_rows, 1024)):  # small ones are small in the JVM too
             row = batch.column("row")
             texts = row.field(text_at).cast(pa.string()).cast(pa.binary())
-            prints = [wide_fingerprint(x.as_py() or b"").view(np.int64) for x in texts]
-            yield pa.RecordBatch.from_arrays([row, row.field(id_at).cast(pa.int64()), pa.array(prints, pa.list_(pa.int64()))], names=["row", "id", "fp"])
+            prints, sizes, bands = [], [], []
+            for x in texts:
+                hashes = shingle_set(x.as_py() or b"")
+                prints.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                sizes.append(len(hashes))
+                bands.append(band_keys(hashes, tables))
+            yield pa.RecordBatch.from_arrays([row, row.field(id_at).cast(pa.int64()), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "id", "fp", "size", "bands"])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return run
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, tables: int = WIDE_TABLES, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, tables: int = TABLES_OF_BANDS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns: of each group of near copies that of the smallest id.
 
-    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more, as estimated
-    by SimHashes of 512 bits: two are linked if they differ in no more bits than :func:`radius_of` says, and agree
-    in the sampled bits of one of ``tables`` tables. Both are matters of chance: README has measured shares.
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more, counted
+    on the sets. Those are compared that ``tables`` bands of MinHash values connect: two at the similarity s that
+    nothing else connects are missed with a chance of (1 - s^7)^tables, at any number of rows.
     Null and empty texts are alike. Null ids come last, and of them the smallest fingerprint stays. Rows that share
     both id and fingerprint with the one that stays are the same document twice and stay with it."""
     scratch = Scratch(df.sparkSession, "representatives")
     packed = df.select(F.struct("*").alias("row"))
-    schema = T.StructType([packed.schema["row"], T.StructField("id", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType()))])
-    rows = scratch.keep(packed.mapInArrow(_with_fingerprints(id_col, text_col), schema), "rows")
-    radius = radius_of(similarity, 64 * WIDE_WORDS)
-    named = _named(rows.select("id", "fp"), scratch, lambda distinct: _wide_links(distinct, scratch, distinct.count(), radius, tables, bucket_limit))
+    schema = T.StructType([packed.schema["row"], T.StructField("id", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    rows = scratch.keep(packed.mapInArrow(_with_sets(id_col, text_col, tables), schema), "rows")
+    named = _named(rows.select("id", "fp"), scratch, lambda distinct: _set_links(rows, text_col, scratch, similarity, bucket_limit))
     stay = named.filter(F.col("fp") == F.col("first.fp")).select(F.col("first.id").alias("stay_id"), F.col("fp").alias("stay_fp"))
     return rows.join(stay, (F.col("fp") == F.col("stay_fp")) & F.col("id").eqNullSafe(F.col("stay_id")), "left_semi").select("row.*")

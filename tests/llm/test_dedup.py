@@ -118,3 +118,35 @@ def test_representatives_take_near_copies_and_leave_the_rest(spark):
 def test_representatives_with_odd_rows(docs):
     got = simhash.representatives(docs)
     assert got.columns == docs.columns and 0 < got.count() < docs.count()
+
+
+def pairs_of(shared_by, rng):
+    """Two texts for each (shingles of each, shingles of each that the other lacks)."""
+    texts = []
+    for n, own in shared_by:
+        w = [f"w{x}" for x in rng.integers(0, 10**9, n + 4)]
+        texts += [" ".join(w), " ".join(w[: n + 4 - own] + [f"v{x}" for x in rng.integers(0, 10**9, own)])]
+    return texts
+
+
+def plain_shingles(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_candidates_meet_at_the_same_rate_at_every_size():
+    rng = np.random.default_rng(3)
+    for n, own in ((9, 1), (90, 10), (900, 100)):  # exactly 0.8
+        met = []
+        for _ in range(150):
+            x = rng.integers(0, 2**64, n + own, dtype=np.uint64)
+            a, b = simhash.band_keys(np.sort(x[:n])), simhash.band_keys(np.sort(np.delete(x, slice(0, own))))
+            met.append(int((a == b).sum()))
+        # a band holds with 0.8^7: all 150 pairs meet in some of 48, and the rate is the one that the docstring's law takes
+        assert min(met) >= 1 and abs(np.mean(met) / simhash.TABLES_OF_BANDS - 0.8**simhash.BAND) < 0.02
+
+
+def test_all_pairs_at_the_threshold_are_found(spark):
+    texts = pairs_of([(90, 10)] * 200 + [(9, 1)] * 100, np.random.default_rng(4))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.representatives(df).select("doc_id").collect()) == list(range(0, len(texts), 2))
