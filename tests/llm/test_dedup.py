@@ -150,3 +150,10 @@ def test_all_pairs_at_the_threshold_are_found(spark):
     texts = pairs_of([(90, 10)] * 200 + [(9, 1)] * 100, np.random.default_rng(4))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.representatives(df).select("doc_id").collect()) == list(range(0, len(texts), 2))
+
+
+def test_pairs_below_the_threshold_stay(spark):
+    below = [(90, 11)] * 100 + [(6, 1)] * 100 + [(8, 1)] * 100 + [(90, 14)] * 50  # 0.782, 0.714, 0.778, 0.731
+    texts = pairs_of(below, np.random.default_rng(5))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.representatives(df).count() == len(texts)
