@@ -33,7 +33,7 @@ def _byte_letters() -> dict[int, str]:
 class TokenIds:
     """Ids of a text as little-endian bytes of ``dtype``; built from the text of a tokenizer file."""
 
-    def __init__(self, definition: str, cache: int = 250_000):
+    def __init__(self, definition: str, cache: int = 125_000):
         import numpy as np
 
         self.library = Tokenizer.from_str(definition)
@@ -42,6 +42,8 @@ class TokenIds:
         steps = (told.get("normalizer") or {}).get("normalizers", [])
         split = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.by_chunk = [x["type"] for x in steps] == NORMALISERS and split.get("behavior") == "Removed" and split.get("invert") and split.get("pattern", {}).get("Regex") == SPLIT and not any(x["content"].split() != [x["content"]] or x["lstrip"] or x["rstrip"] for x in told["added_tokens"])
+        #: The library matches these before it lowers; texts that hold one in any case keep their letters.
+        self.added = [x["content"].encode().lower() for x in told["added_tokens"]]
         self.letters = _byte_letters()
         self.model = self.library.model
         self.lower, self.raw = Recent(self._simple, cache), Recent(self._whole, cache // 8)
@@ -66,9 +68,10 @@ class TokenIds:
     def __call__(self, text: bytes) -> bytes:
         if not self.by_chunk:
             return self._whole(text)
-        if BEYOND.search(text):
+        low = text.lower()
+        if BEYOND.search(text) or any(x in low for x in self.added):
             return b"".join(map(self.raw.__getitem__, text.split()))
-        return b"".join(map(self.lower.__getitem__, text.lower().split()))
+        return b"".join(map(self.lower.__getitem__, low.split()))
 
 
 _LOADED: dict[int, TokenIds] = {}

@@ -34,6 +34,11 @@ def test_token_ids_are_the_librarys(text):
     assert np.frombuffer(OWN(text.encode()), OWN.dtype).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["<|ENDOFTEXT|>", "a <|EndOfText|>, B", "X<|startofTEXT|>y <|endoftext|> z", "É<|Endoftext|>", "<|ENDOFTEXT|> 漢字"])
+def test_added_tokens_match_their_own_case_alone(text):
+    assert np.frombuffer(OWN(text.encode()), OWN.dtype).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def test_other_vocabularies_go_to_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     own, library = TokenIds(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
