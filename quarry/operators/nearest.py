@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import combinations, islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,11 +61,27 @@ class HyperplaneIndex:
     def remove(index: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
         return index.join(keys.select(key), key, "left_anti")
 
+    def _order(self, own: int) -> Iterator[int]:
+        """All signatures by differing bits from ``own``, then by these bits."""
+        for n in range(self.planes + 1):
+            yield from (own ^ flip for flip in sorted(sum(1 << i for i in bits) for bits in combinations(range(self.planes), n)))
+
     def search(self, index: DataFrame, vector: list[float], limit: int = 10, probes: int = 2, exact: bool = True, column: str = "embedding", key: str = "key") -> DataFrame:
-        """The ``limit`` nearest by Euclidean distance: of all rows if ``exact``, else of the ``probes`` buckets that are nearest in bits."""
+        """The ``limit`` nearest by Euclidean distance: of all rows if ``exact``, else of the buckets that are nearest in bits.
+
+        These are the first ``probes`` and, until they hold ``limit`` rows, the next ones that have any; a job counts them
+        first. With fewer rows in all buckets, all rows are searched."""
         if not exact:
-            own = self.of(vector)
-            # buckets in order of differing bits: the own, then one bit apart, then two
-            order = sorted(range(1 << self.planes), key=lambda s: ((s ^ own).bit_count(), s ^ own)) if self.planes <= 12 else [own, *(own ^ 1 << i for i in range(self.planes))]
-            index = index.filter(F.col("signature").isin(order[: max(1, probes)]))
+            own, probed = self.of(vector), max(1, probes)
+            differing = F.col("signature").bitwiseXOR(F.lit(own))
+            scored = index.filter(F.col("signature").isNotNull() & l2_distance(F.col(column), vector_literal(vector)).isNotNull())
+            filled = scored.groupBy("signature").agg(F.count("*").alias("n")).orderBy(F.bit_count(differing), differing).limit(limit + probed).collect()
+            chosen, found = list(islice(self._order(own), probed)), 0
+            always = set(chosen)
+            for bucket in filled:
+                if bucket["signature"] in always or found < limit:
+                    chosen.append(bucket["signature"])
+                    found += bucket["n"]
+            if found >= limit:
+                index = index.filter(F.col("signature").isin(chosen))
         return nearest(index, vector, limit, column, key, "l2")

@@ -1,4 +1,5 @@
 import os
+import random
 
 import duckdb
 import pytest
@@ -85,6 +86,20 @@ def test_vectors(spark):
     assert more.count() == 5 and more.filter("key = 'x'").first().embedding == [5.0, 5.0]
 
 
+def test_approximate_search_widens_until_the_limit(spark):
+    rng = random.Random(7)
+    rows = [(f"k{i:03}", [rng.gauss(20.0 * (1 if i % 40 else -1), 1.0) for _ in range(8)]) for i in range(200)] + [("none", None), ("hole", [None] * 8), ("wide", [1.0] * 9)]
+    index = HyperplaneIndex(8)
+    built = index.build(spark.createDataFrame(rows, "key string, embedding array<double>")).cache()
+    for asked in ([-20.0] * 8, [20.0, -20.0] * 4):  # a bucket of five rows, and most likely none
+        for limit in (1, 10, 150, 200):
+            got = index.search(built, asked, limit, exact=False).collect()
+            assert len(got) == limit and [r.distance for r in got] == sorted(r.distance for r in got)
+    assert index.search(built, [20.0] * 8, 500, exact=False).count() == 200
+    assert list(index._order(5))[:4] == [5, 4, 7, 1] and sorted(index._order(5)) == list(range(256))
+    assert index.search(built, [20.0] * 8, 3, probes=2, exact=False).filter("key = 'k000'").count() == 0
+
+
 def test_joins_stay_hash_joins_and_filters_reach_the_scan(spark):
     o = spark.read.parquet(f"{SF}/orders.parquet").filter("o_totalprice > 1000").select("o_orderkey", "o_custkey")
     c = spark.read.parquet(f"{SF}/customer.parquet")
