@@ -123,9 +123,18 @@ def _tile(k: int, factor: float):
         ids, own = candidates["ids"].to_pylist(), queries["id"].to_numpy()[order]
         by_least = np.argsort([i[0] for i in ids])  # the tree should not follow the order that rows came in
         x, ids = x[by_least], [ids[i] for i in by_least]
-        row, best = Tree(x).search(q, min(k + 1 + MARGIN, len(x)), factor)
+        held = min(k + 1 + MARGIN, len(x))
+        row, best = Tree(x).search(q, held, factor)
+        # where all that is held is within rounding of the k-th other, more rows may be
+        rounding = dimension * 2.0**-50 * np.sqrt((q**2).sum(1)) * math.sqrt(float((x**2).sum(1).max()))
+        edge = np.sort(best, axis=1)[:, -min(k + 1, held)] - 2 * rounding
+        cut = (best.min(1) >= edge) & (held < len(x))
         out: list[tuple[int, int, float]] = []
-        for me, query, rows, products in zip(own.tolist(), q, row, best, strict=True):
+        for me, query, rows, products, least, more in zip(own.tolist(), q, row, best, edge.tolist(), cut.tolist(), strict=True):
+            if more:
+                products = x @ query
+                rows = np.flatnonzero(products >= least)
+                products = products[rows]
             exact = [(-math.fsum((query * x[r]).tolist()), i) for r, p in zip(rows.tolist(), products.tolist(), strict=True) if p > -math.inf for i in ids[r][: k + 1] if i != me]
             out += [(me, i, -s) for s, i in sorted(exact)[:k]]
         a, b, c = zip(*out, strict=True) if out else ((), (), ())

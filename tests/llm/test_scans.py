@@ -166,3 +166,15 @@ def test_the_factor_trades_recall_for_work():
         recall = np.mean([len({*a} & {*b}) / 10 for a, b in zip(rows.tolist(), best.tolist(), strict=True)])
         shares.append((recall, tree.scored / (len(q) * len(x))))
     assert shares[0][0] == 1.0 and shares[1][0] >= 0.85 and shares[1][1] < shares[0][1] < 1
+
+
+def test_ties_beyond_the_margin_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(8)
+    codes = rng.permutation(4096)[:1500]  # distinct vectors of 12 bits: hundreds tie at the cut
+    x = (codes[:, None] >> np.arange(12) & 1).astype(float)
+    x[(x == 0).all(1)] = 1.0
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): r.vec_id for r in nearest(df, k=5, every=100).collect()}
+    for q in range(0, 1500, 100):
+        want = sorted((-float(x[q] @ x[i]), i) for i in range(1500) if i != q)[:5]
+        assert [got[q, r + 1] for r in range(5)] == [i for _, i in want]
