@@ -157,3 +157,20 @@ def test_pairs_below_the_threshold_stay(spark):
     texts = pairs_of(below, np.random.default_rng(5))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert simhash.representatives(df).count() == len(texts)
+
+
+def test_alike_against_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        sets = []
+        for _ in range(rng.integers(1, 6)):
+            base = rng.integers(0, 200, rng.integers(1, 60)).astype(np.uint64)
+            for _ in range(rng.integers(1, 12)):
+                copy = base.copy()
+                copy[rng.integers(0, len(copy), len(copy) // int(rng.integers(3, 15)))] = rng.integers(0, 400)
+                sets.append(np.unique(copy))
+        near = [[5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) for b in sets] for a in sets]
+        root = np.arange(len(sets))
+        while (new := np.array([root[row].min() for row in near])).tolist() != root.tolist():
+            root = new
+        assert simhash.alike(sets).tolist() == root.tolist()
