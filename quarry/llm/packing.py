@@ -122,16 +122,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 def _cutter(definition: str, end_id: int, capacity: int):
     def cut(batches):
         ids_of, part = loaded(definition), TaskContext.get().partitionId()
-        end = np.array([end_id], ids_of.dtype).tobytes()
-        width, seen = ids_of.dtype.itemsize, [0] * (capacity + 1)
+        seen = [0] * (capacity + 1)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                ids = np.frombuffer(ids_of(text or b"") + end, ids_of.dtype).astype("<u4").tobytes()
-                for piece, lo in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[lo : lo + 4 * capacity]
-                    rows.append((doc_id, piece, lo // 4, n := len(own) // 4, zlib.crc32(own), part, seen[n]))
-                    seen[n] += 1
+            names = iter(batch.column("id").to_pylist())
+            for ids, counts in ids_of.many(batch.column("text"), end_id):
+                raw, at = memoryview(ids.astype("<u4").tobytes()), 0
+                for count in counts.tolist():
+                    doc_id = next(names)
+                    for piece, lo in enumerate(range(0, count, capacity)):
+                        n = min(capacity, count - lo)
+                        rows.append((doc_id, piece, lo, n, zlib.crc32(raw[4 * (at + lo) : 4 * (at + lo + n)]), part, seen[n]))
+                        seen[n] += 1
+                    at += count
             for lo in range(0, len(rows), 20_000):
                 columns = zip(*rows[lo : lo + 20_000], strict=True)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())

@@ -1,26 +1,32 @@
 """Token ids of whole texts, by the tokenizers library.
 
 For a vocabulary whose pre-tokenizer drops white space, no token and no normalisation step reaches across
-ASCII white space, so a text's ids are those of its space-separated chunks one after another. Chunks recur,
-and their ids are kept in a bounded cache in front of the library; the ids are the library's own. For any other
-vocabulary whole texts go to the library."""
+ASCII white space, so a text's ids are those of its space-separated chunks one after another. Chunks recur: those of
+some megabytes of texts are told apart by a hash table in Arrow, each distinct one is looked up in a bounded cache or goes to the
+library once, and ids are put together by index. The ids are the library's own. For any other vocabulary whole texts go to
+the library."""
 
 from __future__ import annotations
 
 import json
-import re
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from quarry.llm.common import Recent
-
 #: The normaliser and the pattern under which chunks are independent of each other.
 NORMALISERS = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Bytes that begin a character from U+0300 on; below it composition changes nothing and lower-casing ASCII first is safe.
-BEYOND = re.compile(rb"[\xcc-\xff]")
-LETTERS_THEN_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)\Z")
+#: The least byte that begins a character from U+0300 on; below it composition changes nothing and lower-casing ASCII first is safe.
+BEYOND = 0xCC
+#: Marks that may end a chunk, and characters before them that the pattern always parts from them and that lower-casing leaves alone.
+MARKS, BEFORE = '!"#$%&()*+,-./:;=>?@[\\]^`{|}~', r"[a-z0-9\x{DF}-\x{F6}\x{F8}-\x{FF}]$"
+#: Bytes of texts whose chunks are told apart at once. A longer text is taken alone, and whole.
+PART_BYTES = 8 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -30,12 +36,47 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of rows whose ``sizes`` add up to ``most``, or a single larger row."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, ... of each run, one run after another."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
+
+
+def _strings(column: pa.Array) -> list:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+class _Kept:
+    """What ``make`` gives for each of some keys, kept. Two generations of about ``limit`` entries bound it; what is used stays."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.now, self.old = make, limit, {}, {}
+
+    def all(self, keys: list) -> list[bytes]:
+        if len(self.now) >= self.limit:
+            self.now, self.old = {}, self.now
+        out = list(map(self.now.get, keys))
+        for i in [i for i, value in enumerate(out) if value is None]:
+            key = keys[i]
+            if (value := self.now.get(key)) is None and (value := self.old.get(key)) is None:
+                value = self.make(key)
+            out[i] = self.now[key] = value
+        return out
+
+
 class TokenIds:
-    """Ids of a text as little-endian bytes of ``dtype``; built from the text of a tokenizer file."""
+    """Ids of texts, of numpy type ``dtype``; built from the text of a tokenizer file."""
 
     def __init__(self, definition: str, cache: int = 125_000):
-        import numpy as np
-
         self.library = Tokenizer.from_str(definition)
         told = json.loads(definition)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
@@ -43,35 +84,86 @@ class TokenIds:
         split = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.by_chunk = [x["type"] for x in steps] == NORMALISERS and split.get("behavior") == "Removed" and split.get("invert") and split.get("pattern", {}).get("Regex") == SPLIT and not any(x["content"].split() != [x["content"]] or x["lstrip"] or x["rstrip"] for x in told["added_tokens"])
         #: The library matches these before it lowers; texts that hold one in any case keep their letters.
-        self.added = [x["content"].encode().lower() for x in told["added_tokens"]]
+        self.added = [x["content"].lower() for x in told["added_tokens"]]
         self.letters = _byte_letters()
         self.model = self.library.model
-        self.lower, self.raw = Recent(self._simple, cache), Recent(self._whole, cache // 8)
-
-    def _pack(self, ids) -> bytes:
-        import numpy as np
+        self.lower, self.raw = _Kept(self._simple, cache), _Kept(self._whole, cache // 8)
 
-        return np.array(ids, self.dtype).tobytes()
+    def _pack(self, ids: list[int]) -> bytes:
+        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
 
-    def _whole(self, chunk: bytes) -> bytes:
-        return self._pack(self.library.encode(chunk.decode(), add_special_tokens=False).ids)
+    def _whole(self, chunk: str) -> bytes:
+        return self._pack(self.library.encode(chunk, add_special_tokens=False).ids)
 
-    def _simple(self, chunk: bytes) -> bytes:
+    def _simple(self, chunk: str) -> bytes:
         """A chunk of characters below U+0300 with its ASCII letters lowered."""
-        text = chunk.decode()
-        if text.isalpha() and text == text.lower():
-            return self._pack([t.id for t in self.model.tokenize(text if text.isascii() else "".join(map(self.letters.__getitem__, chunk)))])
-        if (cut := LETTERS_THEN_MARKS.match(text)) and cut[1].isalpha() and cut[1] == cut[1].lower() and "<" not in text:
-            return self.lower[cut[1].encode()] + self.lower[cut[2].encode()]
+        if chunk.isalpha() and chunk == chunk.lower():
+            letters = chunk if chunk.isascii() else "".join(map(self.letters.__getitem__, chunk.encode()))
+            return self._pack([t.id for t in self.model.tokenize(letters)])
         return self._whole(chunk)
 
-    def __call__(self, text: bytes) -> bytes:
-        if not self.by_chunk:
-            return self._whole(text)
-        low = text.lower()
-        if BEYOND.search(text) or any(x in low for x in self.added):
-            return b"".join(map(self.raw.__getitem__, text.split()))
-        return b"".join(map(self.lower.__getitem__, low.split()))
+    def _apart(self, text: str) -> np.ndarray:
+        """A text by itself, with its own letters."""
+        # as bytes are split: at ASCII white space alone
+        chunks = [c.decode() for c in text.encode().split()] if self.by_chunk else [text]
+        return np.frombuffer(b"".join(self.raw.all(chunks)), self.dtype)
+
+    def _chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of texts whose ASCII letters are lowered."""
+        split = pc.ascii_split_whitespace(texts)
+        chunks = split.flatten().dictionary_encode()
+        each = chunks.dictionary
+        stems = pc.ascii_rtrim(each, characters=MARKS)
+        heads = pc.if_else(pc.match_substring_regex(stems, BEFORE), stems, each)
+        marked = np.flatnonzero(pc.not_equal(heads, each).to_numpy(zero_copy_only=False))
+        ends: dict[str, int] = {"": 0}
+        tail = np.zeros(len(each), np.int64)
+        tail[marked] = [ends.setdefault(c[len(h) :], len(ends)) for c, h in zip(_strings(each.take(pa.array(marked))), _strings(heads.take(pa.array(marked))), strict=True)]
+        heads = heads.dictionary_encode()
+        known = self.lower.all(_strings(heads.dictionary)) + self.lower.all(list(ends))
+        ids = np.frombuffer(b"".join(known), self.dtype)
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        runs = np.column_stack([heads.indices.to_numpy(), tail + len(heads.dictionary)]).ravel()
+        ids = ids[spread((np.cumsum(lengths) - lengths)[runs], lengths[runs])]
+        lengths = lengths[runs].reshape(-1, 2).sum(1)
+        at = chunks.indices.to_numpy()
+        taken = lengths[at]
+        stops = np.concatenate([[0], np.cumsum(taken)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return ids[spread((np.cumsum(lengths) - lengths)[at], taken)], np.diff(stops)
+
+    def _part(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        apart = np.full(len(texts), not self.by_chunk)
+        lowered = texts
+        if self.by_chunk:
+            lowered = pc.ascii_lower(texts)
+            for token in self.added:
+                apart |= pc.match_substring(lowered, token).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.binary_length(texts).to_numpy())
+            low = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset]
+            high = np.flatnonzero(np.frombuffer(texts.buffers()[2] or b"", np.uint8)[low : low + (ends[-1] if len(ends) else 0)] >= BEYOND)
+            apart[np.searchsorted(ends, high, side="right")] = True
+        if not apart.any():
+            return self._chunked(lowered)
+        ids, counts = self._chunked(lowered.filter(pa.array(~apart)))
+        plain, own = iter(np.split(ids, np.cumsum(counts)[:-1])), iter(texts.filter(pa.array(apart)).to_pylist())
+        each = [self._apart(next(own)) if a else next(plain) for a in apart.tolist()]
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+
+    def many(self, texts: pa.Array, end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For some texts at a time, in their order, all their ids and how many each has. Null is empty; ``end`` follows each text, if given."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        for lo, hi in parts(pc.binary_length(texts).to_numpy(zero_copy_only=False), PART_BYTES):
+            ids, counts = self._part(texts.slice(lo, hi - lo))
+            if end is not None:
+                closed, stops = np.empty(len(ids) + len(counts), self.dtype), np.cumsum(counts + 1) - 1
+                inside = np.ones(len(closed), bool)
+                inside[stops] = False
+                closed[stops], closed[inside] = end, ids
+                ids, counts = closed, counts + 1
+            yield ids, counts
+
+    def __call__(self, text: str) -> list[int]:
+        return [i for ids, _ in self.many(pa.array([text])) for i in ids.tolist()]
 
 
 _LOADED: dict[int, TokenIds] = {}
