@@ -1,8 +1,8 @@
 """Best-fit packing of token pieces into sequences of a fixed length, by exact complements.
 
 The plan needs only how many pieces there are of each length, at most ``capacity`` numbers, and is made on the
-driver. The longest open piece leaves a gap; an index of single lengths, of sums of pairs and, through it, of
-triples is asked for a combination that fills the gap exactly, and as many such sequences are made at once as the
+driver. The longest open piece leaves a gap; an index of single lengths, of sums of pairs and of sums of triples
+is asked for a combination that fills the gap exactly, and as many such sequences are made at once as the
 counts allow. Where no combination fits, the largest piece that fits (the best fit) goes in and the smaller gap is
 asked again. Each step uses up a length, so the plan has some thousands of entries for any number of
 rows. Pieces take their places by their rank among the pieces of their length."""
@@ -42,23 +42,27 @@ class Plan:
 
 
 class _Index:
-    """Lengths in stock, and for each sum how many unordered pairs of different lengths make it."""
+    """Lengths in stock, and for each sum how many unordered pairs and triples of different lengths make it."""
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.stock = np.zeros(capacity + 1, np.int64)
+        self.here = np.zeros(capacity + 1, bool)
+        self.pairs, self.triples = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
-            self.stock[length] = n
-        self.here = self.stock > 0
-        self.pairs = np.zeros(2 * capacity + 1, np.int32)
-        for length in np.flatnonzero(self.here):
-            self.pairs[length + np.flatnonzero(self.here[:length])] += 1
+            if n:
+                rest = capacity + 1 - length
+                self.triples[length:] += self.pairs[:rest].copy()  # sums of pairs without this length
+                self.pairs[length:] += self.here[:rest]
+                self.stock[length], self.here[length] = n, True
 
     def take(self, combination: tuple[int, ...], times: int) -> None:
         for length in combination:
             self.stock[length] -= times
             if not self.stock[length]:
                 self.here[length] = False
-                self.pairs[length + np.flatnonzero(self.here)] -= 1
+                rest = len(self.here) - length
+                self.pairs[length:] -= self.here[:rest]
+                self.triples[length:] -= self.pairs[:rest].copy()
 
     def times(self, combination: tuple[int, ...]) -> int:
         return min(int(self.stock[x]) // combination.count(x) for x in set(combination))
@@ -78,8 +82,10 @@ class _Index:
             return found
         third = np.flatnonzero(self.here[1 : gap - 1]) + 1
         rest = gap - third
-        halves = (rest % 2 == 0) & self.here[rest // 2]
-        for length in third[(self.pairs[rest] > 0) | halves][::-1].tolist():
+        doubled = (rest % 2 == 0) & self.here[rest // 2]  # a length twice, beside the third
+        if not self.triples[gap]:
+            third, rest, doubled = third[doubled], rest[doubled], doubled[doubled]
+        for length in third[(self.pairs[rest] > 0) | doubled][::-1].tolist():
             if self.times((*held, length)) and (found := self.pair(gap - length, (*held, length))):
                 return (length, *found)
         return None
