@@ -16,10 +16,6 @@ def matches(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def between_or_false(value: Column, low: Column, high: Column) -> Column:
-    return matches((value >= low) & (value < high))
-
-
 def safe_add(a: Column, b: Column) -> Column:
     return F.try_add(a, b)
 

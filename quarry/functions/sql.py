@@ -13,6 +13,7 @@ _COSINE = f"""CASE WHEN size(a) = size(b) THEN
 
 FUNCTIONS = {
     "json_extract(v VARIANT, path STRING) RETURNS STRING": "CASE WHEN path LIKE '$%' THEN try_variant_get(v, path, 'string') END",
+    "json_value(v VARIANT, path STRING) RETURNS VARIANT": "CASE WHEN path LIKE '$%' THEN try_variant_get(v, path, 'variant') END",
     "json_extract_long(v VARIANT, path STRING) RETURNS BIGINT": "CASE WHEN path LIKE '$%' THEN try_variant_get(v, path, 'bigint') END",
     "json_extract_double(v VARIANT, path STRING) RETURNS DOUBLE": "CASE WHEN path LIKE '$%' THEN try_variant_get(v, path, 'double') END",
     "json_extract_bool(v VARIANT, path STRING) RETURNS BOOLEAN": "CASE WHEN path LIKE '$%' THEN try_variant_get(v, path, 'boolean') END",

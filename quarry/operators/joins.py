@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +26,8 @@ def equi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
 
 
 def hash_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_alias: str = "l", right_alias: str = "r") -> DataFrame:
-    return equi_join(left, right, left_key, right_key, left_alias, right_alias, strategy="shuffle_hash")
+    """Rows of equal keys. Which side is hashed, broadcast or sorted is left to sizes that adaptive execution sees: a hinted build side could not spill."""
+    return equi_join(left, right, left_key, right_key, left_alias, right_alias)
 
 
 def nested_loop_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_alias: str = "l", right_alias: str = "r") -> DataFrame:
@@ -68,6 +67,3 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, righ
     both = a.unionByName(b).withColumn("__last", F.last("__v", ignorenulls=True).over(so_far)).filter("__side = 1")
     return both.select(*left.columns, *[F.col(f"__last.{v}").alias(v) for v in values])
 
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
+import tempfile
 import threading
 import uuid
 from collections.abc import Iterable, Sequence
 from typing import Any
 
 from pyspark.errors import AnalysisException, ParseException, PySparkException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,10 +20,14 @@ from quarry.plans import explain_plan
 from quarry.prepared import arity
 from quarry.sources import backup
 from quarry.sources.store import Store
-from quarry.sources.types import ROW_ID, Column, check_rows, check_table
+from quarry.sources.types import ROW_ID, Column, agreed_sizes, check_keys, check_rows, check_table, measures, problem_of
 from quarry.sources.writes import after_delete, after_update
 
 
+#: Literal rows for each task that writes them.
+LITERAL_ROWS = 50_000
+
+
 def table_listing(spark: SparkSession, names: Iterable[str]) -> DataFrame:
     return spark.createDataFrame([(n,) for n in sorted(names)], "`table` string")
 
@@ -55,22 +59,33 @@ def format_rows(found: list[dict[str, Any]]) -> str:
     return "\n".join([line(names), "-+-".join("-" * w for w in wide), *map(line, cells)])
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Where a database without a path lies: ``spark.checkpoint.dir``, which driver and executors share; a temporary folder on one machine alone."""
+    conf = spark.sparkContext.getConf()
+    named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    if not named and not (conf.get("spark.master") or "").startswith("local"):
+        raise QuarryError("a database on a cluster needs a path, or spark.checkpoint.dir")
+    return named or tempfile.gettempdir()
+
+
 class Session:
-    """A database of versioned tables under ``path``; without one, under a folder that goes when it is closed.
+    """A database of versioned tables under ``path``; without one, under a folder that goes when it is closed or the application ends.
+
+    Names of tables and columns are those of any case.
 
     It works in a Spark session of its own beside the caller's: temporary views, functions and settings are not the
     caller's. There ANSI mode is off, so that division by zero and operands of another type give NULL; integers
     then wrap around where they overflow, which the caller's own ANSI session would report. ``null_equal``: NULL = NULL is true."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, null_equal: bool = False):
-        import tempfile
-
         self.spark = spark.newSession()
         self.spark.conf.set("spark.sql.ansi.enabled", "false")
-        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+        self.spark.conf.set("parquet.page.verify-checksum.enabled", "true")
         self.temporary = path is None or path == ":memory:"
-        self.path = f"{shared.rstrip('/')}/quarry-{uuid.uuid4().hex}" if self.temporary else path
+        self.path = f"{shared_dir(spark).rstrip('/')}/quarry-{uuid.uuid4().hex}" if self.temporary else path
         self.store, self.null_equal, self.lock = Store(self.spark, self.path), null_equal, threading.RLock()
+        if self.temporary:
+            self.store.files.on_exit()
         register(self.spark)
 
     # --- reading ---
@@ -128,13 +143,15 @@ class Session:
             tx.commit()
             return out
 
-    def compact(self, files: int = 1) -> dict[str, Any]:
-        """Rewrites each table into one folder, and drops what no version needs any more."""
+    def compact(self, file_bytes: int = 128 << 20) -> dict[str, Any]:
+        """Rewrites each table into one folder of files of about ``file_bytes``, in the order of its indexed columns, and drops what no version needs any more."""
         with self.lock:
             base, tables = self.store.manifest(), {}
             for name, t in base["tables"].items():
-                df = self.store.read(t)
-                tables[name] = t | {"files": [self.store.write(name, df.repartition(files), t["indexes"])] if t["files"] else []}
+                df, files = self.store.read(t), max(1, -(-sum(map(self.store.files.bytes, t["files"])) // file_bytes))
+                # ranges of the first indexed column, so that a lookup by it reads one file and skips the others
+                dealt = df.repartitionByRange(files, t["indexes"][0]) if t["indexes"] else df.repartition(files)
+                tables[name] = t | {"files": [self.store.write(name, dealt, t["indexes"])] if t["files"] else []}
             manifest = self.store.publish(base, tables, [{"table": n, "operation": "compact"} for n in tables])
             self.store.vacuum(1)
             return {"status": "compacted", "version": manifest["version"], "table_count": len(tables), "row_count": sum(t["row_count"] for t in tables.values()), "page_count": sum(len(t["files"]) for t in tables.values())}
@@ -157,13 +174,13 @@ class Session:
         """The present state: which folders make each table. It can be restored as long as no compaction has come."""
         return self.store.manifest()
 
-    def restore_state(self, snapshot: dict[str, Any], expected_version: int | None = None) -> int:
-        """Makes an earlier state the next version."""
+    def restore_state(self, snapshot: dict[str, Any], expected_version: int | None = None, change: dict[str, Any] | None = None) -> int:
+        """Makes an earlier state the next version; ``change`` is told beside it."""
         with self.lock:
             base = self.store.manifest()
             if expected_version is not None and base["version"] != expected_version:
                 raise TransactionConflict(f"the version is {base['version']}, not {expected_version}")
-            return self.store.publish(base, snapshot["tables"], [{"table": n, "operation": "restore"} for n in sorted({*base["tables"], *snapshot["tables"]})])["version"]
+            return self.store.publish(base, snapshot["tables"], [{"table": n, "operation": "restore"} for n in sorted({*base["tables"], *snapshot["tables"]})] + ([change] if change else []))["version"]
 
     def close(self) -> None:
         if self.temporary:
@@ -179,12 +196,22 @@ class Transaction:
         self.changes: list[dict[str, Any]] = []
         self.open = True
 
-    def _known(self, name: str) -> dict[str, Any]:
+    def name(self, given: str) -> str:
+        """A table's own name, from one in any case."""
         if not self.open:
             raise QuarryError("the transaction has ended")
-        if name not in self.tables:
-            raise QuarryError(f"there is no table {name}")
-        return self.tables[name]
+        own = given if given in self.tables else next((n for n in self.tables if n.lower() == given.lower()), None)
+        if own is None:
+            raise QuarryError(f"there is no table {given}")
+        return own
+
+    def _known(self, name: str) -> dict[str, Any]:
+        return self.tables[self.name(name)]
+
+    def bytes_left_behind(self) -> int:
+        """Bytes of the folders that the version before names and this transaction does not: what stays on disk for the sake of going back."""
+        now = {f for t in self.tables.values() for f in t["files"]}
+        return sum(self.store.files.bytes(f) for t in self.base["tables"].values() for f in t["files"] if f not in now)
 
     def columns(self, name: str) -> list[Column]:
         return [Column(**c) for c in self._known(name)["columns"]]
@@ -210,8 +237,7 @@ class Transaction:
             self.create_table(statement.name, statement.columns)
             return {"status": "created", "table": statement.name}
         if isinstance(statement, st.DropTable):
-            self._known(statement.name)
-            del self.tables[statement.name]
+            del self.tables[self.name(statement.name)]
             self.changes.append({"table": statement.name, "operation": "drop"})
             return {"status": "dropped", "table": statement.name}
         if isinstance(statement, st.CreateIndex):
@@ -226,10 +252,11 @@ class Transaction:
     def _select(self, sql: str, params: Sequence[Any]) -> DataFrame:
         if arity(sql) != len(params):
             raise ParseError(f"the statement takes {arity(sql)} parameters, not {len(params)}")
-        kinds = {c["name"].lower(): Column(**c).family for t in self.tables.values() for c in t["columns"]}
-        text = st.order_nulls(st.typed_calls(st.named_by_text(sql), kinds))
+        read = st.sources(sql, {n.lower(): n for n in self.tables})
+        families = st.Families([(alias, self.columns(n)) for alias, n in read])
+        text = st.order_nulls(st.typed_calls(st.typed_json(st.named_by_text(sql)), families))
         text = st.null_equal(text) if self.session.null_equal else text
-        names = [n for n in self.tables if re.search(rf"\b{re.escape(n)}\b", sql)]
+        names = sorted({n for _, n in read})
         with self.session.lock:
             try:
                 return self._ask(text, names, params, False)
@@ -262,17 +289,18 @@ class Transaction:
     def create_table(self, name: str, columns: list[Column]) -> None:
         if not self.open:
             raise QuarryError("the transaction has ended")
-        if name in self.tables:
+        if name.lower() in {n.lower() for n in self.tables}:
             raise ConstraintError(f"table {name} exists")
         self.tables[name] = {"columns": [c.to_dict() for c in columns], "indexes": [], "files": [], "row_count": 0, "next_row": 0}
         self.changes.append({"table": name, "operation": "create"})
 
     def create_index(self, table: str, column: str) -> None:
-        """Remembers a column by which new files are sorted, so that scans for its values skip most of them."""
+        """Remembers a column by which new files are sorted, so that scans for its values skip most of them. Files that are there are sorted by the next compaction."""
         if column not in [c.name for c in self.columns(table)]:
             raise ConstraintError(f"{table} has no column {column}")
+        table = self.name(table)
         t = self.tables[table]
-        self.tables[table] = t | {"indexes": sorted({*t["indexes"], column})}
+        self.tables[table] = t | {"indexes": t["indexes"] if column in t["indexes"] else [*t["indexes"], column]}
         self.changes.append({"table": table, "operation": "index", "column": column})
 
     def insert(self, table: str, row: dict[str, Any]) -> dict[str, Any]:
@@ -280,7 +308,8 @@ class Transaction:
 
     def insert_many(self, table: str, columns: list[str] | None, values: Iterable[Sequence[Any]] | DataFrame) -> dict[str, Any]:
         """Rows of plain values, or a DataFrame of typed columns. All of them go in, or none."""
-        t, known = self._known(table), self.columns(table)
+        table = self.name(table)
+        t, known = self.tables[table], self.columns(table)
         names = columns or (values.columns if isinstance(values, DataFrame) else [c.name for c in known])
         unknown = {*names} - {c.name for c in known}
         if unknown:
@@ -293,57 +322,77 @@ class Transaction:
                 raise ParseError(f"{len(names)} columns need as many values in each row")
             if not values:
                 return {"status": "inserted", "count": 0, "rows": 0}
-            texts = self.spark.createDataFrame([tuple(st.as_text(x) for x in v) for v in values], T.StructType([T.StructField(n, T.StringType()) for n in names])).coalesce(1)
+            # in the order given; many rows are split among tasks by their number
+            shape = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("__nth", T.LongType())])
+            texts = self.spark.createDataFrame([(*map(st.as_text, v), i) for i, v in enumerate(values)], shape).coalesce(max(1, len(values) // LITERAL_ROWS))
             typed = [c.from_text().alias(c.name) if c.name in names else F.lit(None).cast(c.spark).alias(c.name) for c in known]
             given = {c.name: f"__given_{c.name}" for c in known if c.name in names and c.family != "string"}
-            new = texts.select(*typed, *[F.col(f"`{n}`").alias(g) for n, g in given.items()])
-        check_rows(new, known, given)
-        numbered = new.select([f"`{c.name}`" for c in known]).withColumn(ROW_ID, F.monotonically_increasing_id() + F.lit(t["next_row"]))
-        folder = self.store.write(table, numbered, t["indexes"])
-        now = t | {"files": [*t["files"], folder]}
-        added = self.store.read(t | {"files": [folder]}).agg(F.count("*").alias("n"), F.max(ROW_ID).alias("last")).first()
-        check_table(self.store.read(now), known)
-        self.tables[table] = now | {"row_count": t["row_count"] + added["n"], "next_row": (added["last"] if added["last"] is not None else t["next_row"] - 1) + 1}
+            new = texts.select(*typed, "__nth", *[F.col(f"`{n}`").alias(g) for n, g in given.items()])
+        told = Observation()
+        numbered = new.withColumn("__problem", problem_of(known, given)).withColumn(ROW_ID, (F.monotonically_increasing_id() if given is None else F.col("__nth")) + F.lit(t["next_row"]))
+        # one job writes and measures; whatever is wrong then leaves a folder that no version names
+        folder = self.store.write(table, numbered.observe(told, *measures(known)).select([*[f"`{c.name}`" for c in known], ROW_ID]), t["indexes"])
+        added = told.get
+        if added["problem"] is not None:
+            raise ConstraintError(added["problem"])
+        dimensions = agreed_sizes(t.get("dimensions", {}), added, known)
+        check_keys(self.store.read(t | {"files": [folder]}), self.store.read(t) if t["files"] else None, known)
+        self.tables[table] = t | {"files": [*t["files"], folder], "dimensions": dimensions, "row_count": t["row_count"] + added["n"], "next_row": (added["last"] if added["last"] is not None else t["next_row"] - 1) + 1}
         self.changes.append({"table": table, "operation": "insert", "count": added["n"]})
         return {"status": "inserted", "count": added["n"], "rows": added["n"]}
 
-    def _rewrite(self, table: str, after: DataFrame, operation: str, count: int) -> dict[str, Any]:
-        t = self.tables[table]
-        if count:
-            folder = self.store.write(table, after, t["indexes"])
-            self.tables[table] = t | {"files": [folder], "row_count": self.store.read(t | {"files": [folder]}).count()}
-        self.changes.append({"table": table, "operation": operation, "count": count})
-        return {"status": {"update": "updated", "delete": "deleted"}[operation], "count": count}
-
-    def _hits(self, df: DataFrame, where: str | None) -> int:
+    def _hit(self, table: str, where: str | None) -> dict[str, int]:
+        """How many rows a condition finds in each folder of a table: one job, one row for each folder."""
+        t, df = self.tables[table], self.frame(table, True)
+        folder = F.regexp_extract(F.input_file_name(), r"/([0-9a-f]{32})/[^/]*$", 1).alias("folder")
         try:
-            return df.filter(F.coalesce(F.expr(where), F.lit(False))).count() if where else df.count()
+            found = df.filter(F.coalesce(F.expr(where), F.lit(False))) if where else df
+            by_name = {r["folder"]: r["n"] for r in found.select(folder).groupBy("folder").agg(F.count("*").alias("n")).collect()}
         except PySparkException as e:
             raise ParseError(_short(e)) from e
+        return {f: by_name[f.rpartition("/")[2]] for f in t["files"] if f.rpartition("/")[2] in by_name}
+
+    def _rewrite(self, table: str, hit: dict[str, int], after: DataFrame | None, operation: str) -> dict[str, Any]:
+        """Puts ``after`` in place of the folders that were hit; the others stay as they are. None: no row is left of these."""
+        t, count = self.tables[table], sum(hit.values())
+        if count:
+            kept = [f for f in t["files"] if f not in hit]
+            new = [self.store.write(table, after, t["indexes"])] if after is not None else []
+            self.tables[table] = t | {"files": kept + new, "row_count": t["row_count"] - (count if operation == "delete" else 0)}
+        self.changes.append({"table": table, "operation": operation, "count": count})
+        return {"status": {"update": "updated", "delete": "deleted"}[operation], "count": count}
 
     def _condition(self, table: str, where: str | None) -> str | None:
-        return st.typed_calls(where, {c.name.lower(): c.family for c in self.columns(table)}) if where else None
+        return st.typed_calls(where, st.Families([(table.lower(), self.columns(table))])) if where else None
 
     def update(self, table: str, assignments: dict[str, str], where: str | None = None) -> dict[str, Any]:
         """Assignments all see the row as it was."""
-        known = {c.name: c for c in self.columns(table)}
+        table, known = self.name(table), {c.name: c for c in self.columns(table)}
         unknown = {*assignments} - {*known}
         if unknown:
             raise ConstraintError(f"{table} has no column {', '.join(sorted(unknown))}")
-        df, where = self.frame(table, True), self._condition(table, where)
-        count = self._hits(df, where)
+        t, where = self.tables[table], self._condition(table, where)
         wrapped = {n: {"json": f"parse_json({e})", "vector": f"from_json({e}, 'array<double>')"}.get(known[n].family, e) if st.tokens(e)[0].kind == "text" and len(st.tokens(e)) == 1 else e for n, e in assignments.items()}
+        changed = [c for c in known.values() if c.name in assignments]
         try:
-            after = after_update(df, wrapped, where)
-            check_rows(after, list(known.values()))
-            check_table(after, [c for c in known.values() if c.name in assignments])
-            return self._rewrite(table, after, "update", count)
+            hit = self._hit(table, where)
+            after = after_update(self.store.read(t | {"files": list(hit)}), wrapped, where)
+            if hit:
+                check_rows(after, changed)
+                if any(c.primary_key or c.family in ("vector", "document") for c in changed):
+                    rest = [f for f in t["files"] if f not in hit]
+                    check_table(after.unionByName(self.store.read(t | {"files": rest})) if rest else after, changed)
+            return self._rewrite(table, hit, after, "update")
         except PySparkException as e:
             raise ParseError(_short(e)) from e
 
     def delete(self, table: str, where: str | None = None) -> dict[str, Any]:
-        df, where = self.frame(table, True), self._condition(table, where)
-        return self._rewrite(table, after_delete(df, where), "delete", self._hits(df, where))
+        """Without a condition, or where all rows of a folder go, nothing is written."""
+        table = self.name(table)
+        t, where = self.tables[table], self._condition(table, where)
+        hit = self._hit(table, where)
+        left = after_delete(self.store.read(t | {"files": list(hit)}), where) if hit and where and not sum(hit.values()) == t["row_count"] else None
+        return self._rewrite(table, hit, left, "delete")
 
     def commit(self) -> int:
         if not self.open:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import asdict, dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column as Expression
@@ -68,22 +69,61 @@ class Column:
         return F.coalesce(*checks) if checks else F.lit(None).cast("string")
 
 
-def check_rows(df: DataFrame, columns: list[Column], given: dict[str, str] | None = None) -> None:
-    """One pass over rows: the first broken rule raises. ``given`` names the columns that hold literals' texts."""
-    problems = [c.problem(F.col(f"`{c.name}`"), F.col(f"`{given[c.name]}`") if given and c.name in given else None) for c in columns]
-    found = df.select(F.coalesce(*problems, F.lit(None)).alias("problem")).filter("problem IS NOT NULL").limit(1).collect() if problems else []
+def check_rows(df: DataFrame, columns: list[Column]) -> None:
+    """One pass over rows: the first broken rule raises."""
+    found = df.select(problem_of(columns).alias("problem")).filter("problem IS NOT NULL").first()
     if found:
-        raise ConstraintError(found[0]["problem"])
+        raise ConstraintError(found["problem"])
+
+
+def measures(columns: list[Column]) -> list[Expression]:
+    """Aggregates of new rows that one pass can take beside a write: how many, the greatest number, the first broken rule and the vectors' sizes."""
+    out = [F.count("*").alias("n"), F.max(ROW_ID).alias("last"), F.min("__problem").alias("problem")]
+    for name, size in vector_sizes(columns).items():
+        out += [F.min(size).alias(f"low_{name}"), F.max(size).alias(f"high_{name}")]
+    return out
+
+
+def problem_of(columns: list[Column], given: dict[str, str] | None = None) -> Expression:
+    """The first rule that a row breaks, NULL if none. ``given`` names the columns that hold literals' texts."""
+    problems = [c.problem(F.col(f"`{c.name}`"), F.col(f"`{given[c.name]}`") if given and c.name in given else None) for c in columns]
+    return F.coalesce(*problems, F.lit(None).cast("string"))
+
+
+def vector_sizes(columns: list[Column]) -> dict[str, Expression]:
+    vectors = {c.name: F.col(f"`{c.name}`") if c.family == "vector" else F.col(f"`{c.name}`.embedding") for c in columns if c.family in ("vector", "document")}
+    return {n: F.when(v.isNotNull(), F.size(v)) for n, v in vectors.items()}
+
+
+def agreed_sizes(known: dict[str, int], measured: dict[str, Any], columns: list[Column]) -> dict[str, int]:
+    """The one dimension of each vector column, after rows of the ``measured`` sizes."""
+    out = dict(known)
+    for name in vector_sizes(columns):
+        for size in (measured.get(f"low_{name}"), measured.get(f"high_{name}")):
+            if size is not None and out.setdefault(name, size) != size:
+                raise ConstraintError(f"{name}: vector dimension mismatch ({out[name]} and {size})")
+    return out
+
+
+def check_keys(new: DataFrame, old: DataFrame | None, columns: list[Column]) -> None:
+    """Each key column is unique by itself, among the new rows and beside the old: old rows only meet the new keys, in one job for all columns."""
+    twice = []
+    for c in columns:
+        if c.primary_key:
+            key = F.col(f"`{c.name}`").alias("k")
+            own = new.select(key).filter("k IS NOT NULL")
+            met = own.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
+            if old is not None:
+                met = met.union(old.select(key).join(own, "k", "left_semi"))
+            twice.append(met.select(F.lit(c.name).alias("name")).limit(1))
+    if twice and (found := reduce(DataFrame.union, twice).first()):
+        raise ConstraintError(f"duplicate primary key in {found['name']}")
 
 
 def check_table(df: DataFrame, columns: list[Column]) -> None:
-    """Keys are unique, each key column by itself, and a vector column has one dimension: one aggregate for all columns."""
-    sizes = {c.name: F.col(f"`{c.name}`") if c.family == "vector" else F.col(f"`{c.name}`.embedding") for c in columns if c.family in ("vector", "document")}
+    """Vector columns have one dimension and keys are unique, over whole rows."""
+    sizes = vector_sizes(columns)
     if sizes:
-        row = df.agg(*[F.min(F.when(v.isNotNull(), F.size(v))).alias(f"low_{n}") for n, v in sizes.items()], *[F.max(F.when(v.isNotNull(), F.size(v))).alias(f"high_{n}") for n, v in sizes.items()]).first()
-        for n in sizes:
-            if row[f"low_{n}"] != row[f"high_{n}"]:
-                raise ConstraintError(f"{n}: vector dimension mismatch ({row[f'low_{n}']} and {row[f'high_{n}']})")
-    for c in columns:
-        if c.primary_key and not df.groupBy(F.col(f"`{c.name}`").alias("k")).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-            raise ConstraintError(f"duplicate primary key in {c.name}")
+        row = df.agg(*[f(v).alias(f"{side}_{n}") for n, v in sizes.items() for side, f in (("low", F.min), ("high", F.max))]).first()
+        agreed_sizes({}, row.asDict(), columns)
+    check_keys(df, None, columns)
