@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.auth import IdentityStore
 from quarry.errors import QuarryError
 from quarry.gate import evaluate_gate, load_manifest
+from quarry.memory import HttpEmbedder, MemoryStore
+from quarry.prompt import HttpPlanner, PromptSQLService
+from quarry.service import MAX_BODY, PER_MINUTE, Service, make_server
 from quarry.session import Session, format_rows, rows
 from quarry.sources.backup import restore_backup
 from quarry.statements import split_statements
@@ -51,6 +56,15 @@ def shell(session: Session, as_json: bool) -> None:
             text = ""
 
 
+def serve(session: Session, a: argparse.Namespace) -> None:
+    """Runs the service until it is interrupted."""
+    planner = HttpPlanner(a.planner_url, a.planner_model, os.environ.get("QUARRY_PLANNER_TOKEN")) if a.planner_url else None
+    embedder = HttpEmbedder(a.embedder_url, a.embedder_model, os.environ.get("QUARRY_EMBEDDER_TOKEN")) if a.embedder_url else None
+    identities = IdentityStore(a.identities) if a.identities else None
+    told = Service(session, a.token, identities, PromptSQLService(session, planner), MemoryStore(session, embedder), a.audit_log, a.requests_per_minute, a.max_body)
+    make_server(told, a.host, a.serve, a.tls_cert, a.tls_key).serve_forever()
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quarry", description=__doc__)
     p.add_argument("path", nargs="?", default=":memory:")
@@ -62,8 +76,20 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--restore-to")
     p.add_argument("--production-gate")
     p.add_argument("--serve", type=int, metavar="PORT")
-    p.add_argument("--token")
     p.add_argument("--json", action="store_true")
+    service = p.add_argument_group("service")
+    service.add_argument("--host", default="127.0.0.1")
+    service.add_argument("--token", default=os.environ.get("QUARRY_TOKEN"), help="bearer token of the one user; also from QUARRY_TOKEN")
+    service.add_argument("--identities", help="ledger of users and their roles")
+    service.add_argument("--tls-cert")
+    service.add_argument("--tls-key")
+    service.add_argument("--requests-per-minute", type=int, default=PER_MINUTE)
+    service.add_argument("--max-body", type=int, default=MAX_BODY, help="bytes of a request")
+    service.add_argument("--audit-log")
+    service.add_argument("--planner-url", help="chat-completions endpoint that proposes SQL")
+    service.add_argument("--planner-model", default="qwen3:1.7b")
+    service.add_argument("--embedder-url", help="endpoint that gives embeddings of notes")
+    service.add_argument("--embedder-model", default="bge-m3")
     a = p.parse_args(argv)
     try:
         if a.production_gate:
@@ -86,11 +112,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.backup:
             print(json.dumps(session.backup(a.backup)))
         if a.serve is not None:
-            from quarry.memory import MemoryStore
-            from quarry.prompt import PromptSQLService
-            from quarry.service import Service, make_server
-
-            make_server(Service(session, a.token, prompt=PromptSQLService(session), memory=MemoryStore(session)), port=a.serve).serve_forever()
+            serve(session, a)
         if not (a.sql or a.file or a.compact or a.backup):
             shell(session, a.json)
         return 0

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import mvcc
@@ -12,29 +10,11 @@ from quarry.functions import cosine_distance, json_extract, json_extract_double,
 from quarry.memory import recent_rows, semantic_rows, visible_rows
 from quarry.operators import HyperplaneIndex, as_of, chain, equi_join, first_rows, group, hash_join, nearest, nested_loop_join, sort, top
 from quarry.prepared import bind
+from quarry.registry import QUERIES, SQL, Query, query, read
 from quarry.sources.rows import key_range
 from quarry.sources.writes import after_delete, after_insert, after_update
 from quarry.streaming import event_windows
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 # --- scan, projection, filter, expressions ---
 
 
@@ -186,6 +166,41 @@ def _(s, d):
     return equi_join(read(s, d, "customer"), read(s, d, "orders").filter("o_totalprice > 400000"), "c_custkey", "o_custkey", "c", "o", False, "left").select(F.col("`c.c_custkey`").alias("c_custkey"), F.coalesce("`o.o_orderkey`", F.lit(-1)).alias("o_orderkey"))
 
 
+@query("join_right", "SELECT coalesce(s_suppkey, -1) AS s_suppkey, n_name FROM (SELECT * FROM supplier WHERE s_acctbal > 5000) RIGHT JOIN nation ON s_nationkey = n_nationkey")
+def _(s, d):
+    j = equi_join(read(s, d, "supplier").filter("s_acctbal > 5000"), read(s, d, "nation"), "s_nationkey", "n_nationkey", "s", "n", False, "right")
+    return j.select(F.coalesce("`s.s_suppkey`", F.lit(-1)).alias("s_suppkey"), F.col("`n.n_name`").alias("n_name"))
+
+
+@query("join_full", "SELECT coalesce(c_custkey, -1) AS c_custkey, coalesce(s_suppkey, -1) AS s_suppkey FROM (SELECT * FROM customer WHERE c_acctbal > 9000) FULL JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) ON c_nationkey = s_nationkey")
+def _(s, d):
+    j = equi_join(read(s, d, "customer").filter("c_acctbal > 9000"), read(s, d, "supplier").filter("s_acctbal > 5000"), "c_nationkey", "s_nationkey", "c", "s", False, "full")
+    return j.select(F.coalesce("`c.c_custkey`", F.lit(-1)).alias("c_custkey"), F.coalesce("`s.s_suppkey`", F.lit(-1)).alias("s_suppkey"))
+
+
+BANDS = [(i, 40_000.0 * i, 40_000.0 * i + 15_000) for i in range(12)]
+
+
+@query("join_range", f"SELECT o_orderkey, band FROM orders JOIN (VALUES {', '.join(map(str, BANDS))}) b(band, low, high) ON o_totalprice >= low AND o_totalprice < high")
+def _(s, d):
+    """A table of twelve bands, which is sent to every task."""
+    bands = s.createDataFrame(BANDS, "band int, low double, high double")
+    return read(s, d, "orders").join(F.broadcast(bands), (F.col("o_totalprice") >= F.col("low")) & (F.col("o_totalprice") < F.col("high"))).select("o_orderkey", "band")
+
+
+@query("join_interval", "SELECT a.event_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts < a.ts + INTERVAL 1 DAY GROUP BY 1")
+def _(s, d):
+    """Events of a user within a day of each: a range frame counts them, and no pairs are made."""
+    day = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(0, 86_400_000_000 - 1)
+    return read(s, d, "events").select("event_id", F.count("*").over(day).alias("n"))
+
+
+@query("join_theta", "SELECT a.r_name AS low, b.r_name AS high FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey")
+def _(s, d):
+    r = read(s, d, "region")
+    return r.select(F.col("r_regionkey").alias("x"), F.col("r_name").alias("low")).join(F.broadcast(r.select(F.col("r_regionkey").alias("y"), F.col("r_name").alias("high"))), F.col("x") < F.col("y")).select("low", "high")
+
+
 @query("join_semi_anti", "SELECT c_custkey, 'with' AS orders FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'without' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def _(s, d):
     c, o = read(s, d, "customer").select("c_custkey"), read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
@@ -252,6 +267,34 @@ def _(s, d):
     return read(s, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
+@query("group_rollup", "SELECT l_returnflag, l_linestatus, grouping(l_linestatus) AS level, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def _(s, d):
+    return read(s, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.grouping("l_linestatus").cast("long").alias("level"), F.count("*").alias("n"))
+
+
+@query("group_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))")
+def _(s, d):
+    return read(s, d, "orders").groupingSets([[F.col("o_orderstatus")], [F.col("o_orderpriority")]], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("group_filtered", "SELECT event_type, count(*) FILTER (value > 50) AS high, coalesce(round(sum(value) FILTER (user_id % 2 = 0), 4), 0) AS even FROM events GROUP BY 1")
+def _(s, d):
+    return read(s, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 50).alias("high"), F.coalesce(F.round(F.sum(F.when(F.col("user_id") % 2 == 0, F.col("value"))), 4), F.lit(0.0)).alias("even"))
+
+
+@query("group_approximate", "SELECT event_type, true AS near FROM events GROUP BY 1")
+def _(s, d):
+    """Whether an estimate of distinct users is within a tenth of their number."""
+    exact, estimate = F.count_distinct("user_id"), F.approx_count_distinct("user_id", 0.02)
+    return read(s, d, "events").groupBy("event_type").agg((F.abs(estimate - exact) <= exact * 0.1).alias("near"))
+
+
+@query("window_frames", "SELECT event_id, lag(value, 1, 0.0) OVER w AS before, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS three, first_value(event_type) OVER w AS first, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS kind FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def _(s, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return read(s, d, "events").select("event_id", F.lag("value", 1, 0.0).over(w).alias("before"), F.round(F.sum("value").over(w.rowsBetween(-2, 0)), 4).alias("three"), F.first("event_type").over(w).alias("first"), F.dense_rank().over(Window.partitionBy("user_id").orderBy("event_type")).cast("long").alias("kind"))
+
+
 # --- vectors ---
 
 FIRST = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
@@ -288,6 +331,19 @@ def _(s, d):
     return INDEX.search(index, PROBE, 10, exact=True, key="vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+SIGNATURE_SQL = f"SELECT vec_id, e, CAST({' + '.join(f'CASE WHEN list_inner_product(e, {n}::DOUBLE[]) >= 0 THEN {1 << i} ELSE 0 END' for i, n in enumerate(INDEX.normals))} AS INTEGER) AS signature FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
+OWN = INDEX.of(PROBE)
+
+
+@query("vector_ann_probed", f"""WITH s AS ({SIGNATURE_SQL}), b AS (SELECT signature, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT signature, coalesce(sum(n) OVER (ORDER BY bit_count(xor(signature, {OWN})), xor(signature, {OWN}) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM b)
+SELECT vec_id, round(list_distance(e, {PROBE_SQL}), 6) AS distance FROM s WHERE signature IN (SELECT signature FROM o WHERE held < 10 OR signature IN ({OWN}, {OWN ^ 1}))
+ORDER BY list_distance(e, {PROBE_SQL}), vec_id LIMIT 10""")
+def _(s, d):
+    index = INDEX.build(read(s, d, "embeddings"))
+    return INDEX.search(index, PROBE, 10, exact=False, key="vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
 # --- statements, writes, versions ---
 
 
@@ -316,10 +372,12 @@ def _(s, d):
     return key_range(read(s, d, "part"), "p_partkey", 100, 200).select("p_partkey", "p_name")
 
 
-@query("mvcc_visible", "SELECT * FROM (VALUES ('row:1', 'b'), ('row:3', 'c')) t(key, value)")
+@query("mvcc_visible", "SELECT CAST(user_id AS VARCHAR) AS key, event_type AS value, event_id AS created FROM (SELECT *, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS deleted FROM events) WHERE event_id <= 4000 AND (deleted IS NULL OR deleted > 4000) AND CAST(user_id AS VARCHAR) LIKE '1%'")
 def _(s, d):
-    history = s.createDataFrame([("row:1", "a", 1, 3), ("row:1", "b", 3, None), ("row:2", "x", 2, 4), ("row:3", "c", 4, None), ("row:4", "d", 6, None), ("other", "e", 1, None)], mvcc.SCHEMA)
-    return mvcc.visible(history, 4, "row:").select("key", "value")
+    """Each event of a user replaces the one before: what stood at version 4000."""
+    e, after = read(s, d, "events"), Window.partitionBy("user_id").orderBy("event_id")
+    history = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("created"), F.lead("event_id").over(after).alias("deleted"))
+    return mvcc.visible(history, 4000, "1").drop("deleted")
 
 
 @query("mvcc_latest", "SELECT o_custkey AS key, arg_max(o_orderkey, o_orderdate) AS value FROM (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) GROUP BY 1")
@@ -328,13 +386,6 @@ def _(s, d):
     return mvcc.latest(rows, ["created", "value"]).select("key", "value")
 
 
-@query("show_tables", "SELECT * FROM (VALUES ('customer'), ('nation'), ('region')) t(\"table\")")
-def _(s, d):
-    from quarry.session import table_listing
-
-    return table_listing(s, ["region", "customer", "nation"])
-
-
 # --- agent memory ---
 
 NOTES = "SELECT conv_id, turn, role, text, row_number() OVER () AS n FROM conversations"
@@ -370,8 +421,10 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
+    from quarry import front_queries  # noqa: F401  registers itself
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {name: SQL[name] for name in queries() if name in SQL}

@@ -151,7 +151,8 @@ class Session:
                 df, files = self.store.read(t), max(1, -(-sum(map(self.store.files.bytes, t["files"])) // file_bytes))
                 # ranges of the first indexed column, so that a lookup by it reads one file and skips the others
                 dealt = df.repartitionByRange(files, t["indexes"][0]) if t["indexes"] else df.repartition(files)
-                tables[name] = t | {"files": [self.store.write(name, dealt, t["indexes"])] if t["files"] else []}
+                folders = [self.store.write(name, dealt, t["indexes"])] if t["files"] else []
+                tables[name] = t | {"files": folders, "sizes": dict.fromkeys(folders, t["row_count"])}
             manifest = self.store.publish(base, tables, [{"table": n, "operation": "compact"} for n in tables])
             self.store.vacuum(1)
             return {"status": "compacted", "version": manifest["version"], "table_count": len(tables), "row_count": sum(t["row_count"] for t in tables.values()), "page_count": sum(len(t["files"]) for t in tables.values())}
@@ -337,7 +338,7 @@ class Transaction:
             raise ConstraintError(added["problem"])
         dimensions = agreed_sizes(t.get("dimensions", {}), added, known)
         check_keys(self.store.read(t | {"files": [folder]}), self.store.read(t) if t["files"] else None, known)
-        self.tables[table] = t | {"files": [*t["files"], folder], "dimensions": dimensions, "row_count": t["row_count"] + added["n"], "next_row": (added["last"] if added["last"] is not None else t["next_row"] - 1) + 1}
+        self.tables[table] = t | {"files": [*t["files"], folder], "sizes": t.get("sizes", {}) | {folder: added["n"]}, "dimensions": dimensions, "row_count": t["row_count"] + added["n"], "next_row": (added["last"] if added["last"] is not None else t["next_row"] - 1) + 1}
         self.changes.append({"table": table, "operation": "insert", "count": added["n"]})
         return {"status": "inserted", "count": added["n"], "rows": added["n"]}
 
@@ -358,7 +359,9 @@ class Transaction:
         if count:
             kept = [f for f in t["files"] if f not in hit]
             new = [self.store.write(table, after, t["indexes"])] if after is not None else []
-            self.tables[table] = t | {"files": kept + new, "row_count": t["row_count"] - (count if operation == "delete" else 0)}
+            gone, sizes = count if operation == "delete" else 0, t.get("sizes", {})
+            held = sum(sizes.get(f, 0) for f in hit) - gone
+            self.tables[table] = t | {"files": kept + new, "sizes": {f: sizes[f] for f in kept if f in sizes} | dict.fromkeys(new, held), "row_count": t["row_count"] - gone}
         self.changes.append({"table": table, "operation": operation, "count": count})
         return {"status": {"update": "updated", "delete": "deleted"}[operation], "count": count}
 
@@ -391,7 +394,8 @@ class Transaction:
         table = self.name(table)
         t, where = self.tables[table], self._condition(table, where)
         hit = self._hit(table, where)
-        left = after_delete(self.store.read(t | {"files": list(hit)}), where) if hit and where and not sum(hit.values()) == t["row_count"] else None
+        emptied = all(n == t.get("sizes", {}).get(f) for f, n in hit.items())
+        left = None if emptied or not where else after_delete(self.store.read(t | {"files": list(hit)}), where)
         return self._rewrite(table, hit, left, "delete")
 
     def commit(self) -> int:

@@ -225,3 +225,62 @@ def test_concurrent_inserts_all_go_in(items):
 def test_format_rows():
     assert format_rows([]) == "(no rows)"
     assert format_rows([{"a": 1, "bb": None}]).split("\n") == ["a | bb", "--+-----", "1 | NULL"]
+
+
+def test_types_come_from_the_tables_that_are_read(docs):
+    ask = lambda: docs.rows("SELECT LENGTH(meta) AS n, JSON_EXTRACT(meta, '$.team') AS team FROM docs WHERE id = 1")
+    before = ask()
+    docs.execute("CREATE TABLE zother (id INT PRIMARY KEY, meta TEXT)")
+    docs.execute("INSERT INTO zother VALUES (1, '{\"team\":\"x\"}')")
+    assert ask() == before == [{"n": 1, "team": "red"}]
+    assert docs.rows("SELECT LENGTH(d.meta) AS a, LENGTH(z.meta) AS b FROM docs d JOIN zother z ON d.id = z.id") == [{"a": 1, "b": 12}]
+    assert docs.rows("SELECT JSON_EXTRACT(meta, '$.team') AS t FROM zother") == [{"t": "x"}]
+
+
+def test_json_values_are_ordered_and_compared_by_what_they_are(db):
+    db.execute("CREATE TABLE j (id INT PRIMARY KEY, m JSON)")
+    db.execute("""INSERT INTO j VALUES (1, '{"a": 10}'), (2, '{"a": 9}'), (3, '{"a": 100.5}'), (4, '{"a": "x"}'), (5, '{}')""")
+    order = "SELECT id FROM j ORDER BY JSON_EXTRACT(m, '$.a')"
+    assert [r["id"] for r in db.rows(order)] == [2, 1, 3, 4, 5]
+    assert [r["id"] for r in db.rows(order + " DESC LIMIT 2")] == [5, 4] or [r["id"] for r in db.rows(order + " DESC")][-3:] == [3, 1, 2]
+    assert db.rows("SELECT JSON_EXTRACT(m, '$.a') AS v FROM j ORDER BY id") == [{"v": 10}, {"v": 9}, {"v": 100.5}, {"v": "x"}, {"v": None}]
+    assert [r["id"] for r in db.rows("SELECT id, JSON_EXTRACT(m, '$.a') AS v FROM j ORDER BY v LIMIT 3")] == [2, 1, 3]
+    assert [r["id"] for r in db.rows("SELECT id FROM j WHERE JSON_EXTRACT(m, '$.a') > 9.5 ORDER BY id")] == [1, 3]
+    assert db.rows("SELECT MIN(JSON_EXTRACT(m, '$.a')) AS low FROM j WHERE id < 4") == [{"low": "9"}]
+    assert db.rows("SELECT JSON_EXTRACT(m, '$.a') + 1 AS more FROM j WHERE id = 2") == [{"more": 10.0}]
+
+
+def test_names_of_any_case_and_many_calls(docs):
+    assert docs.rows("SELECT COUNT(*) AS n FROM DOCS") == [{"n": 3}]
+    with pytest.raises(ConstraintError):
+        docs.execute("CREATE TABLE Docs (id INT)")
+    docs.execute("DELETE FROM Docs WHERE id = 3")
+    many = " + ".join(["LENGTH(name)"] * 150)
+    assert docs.rows(f"SELECT {many} AS n FROM docs WHERE id = 1") == [{"n": 750}]
+
+
+def test_writes_leave_other_folders_alone(db):
+    db.execute("CREATE TABLE t (id INT PRIMARY KEY, v VECTOR)")
+    for i in range(3):
+        db.execute(f"INSERT INTO t VALUES ({i}, '[{i},1]')")
+    before = db.store.manifest()["tables"]["t"]["files"]
+    db.execute("UPDATE t SET id = 10 WHERE id = 1")
+    after = db.store.manifest()["tables"]["t"]
+    assert set(before) - set(after["files"]) == {before[1]} and after["row_count"] == 3
+    db.execute("DELETE FROM t WHERE id = 10")
+    assert db.store.manifest()["tables"]["t"]["files"] == [before[0], before[2]]
+    for bad, word in (("INSERT INTO t VALUES (2, '[1,1]')", "duplicate"), ("INSERT INTO t VALUES (5, '[1,1]'), (5, '[1,2]')", "duplicate"), ("INSERT INTO t VALUES (6, '[1,1,1]')", "dimension"), ("UPDATE t SET id = 0", "duplicate"), ("INSERT INTO t VALUES ('x', NULL)", "type")):
+        with pytest.raises(ConstraintError, match=word):
+            db.execute(bad)
+    assert sorted(r["id"] for r in db.rows("SELECT id FROM t")) == [0, 2]
+
+
+def test_a_writer_that_dies_before_the_manifest_leaves_no_trace(db, monkeypatch):
+    db.execute("CREATE TABLE t (id INT PRIMARY KEY)")
+    monkeypatch.setattr(db.store, "publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        db.execute("INSERT INTO t VALUES (1)")
+    monkeypatch.undo()
+    assert Session(db.spark, db.path).rows("SELECT * FROM t") == []
+    db.execute("INSERT INTO t VALUES (1)")
+    assert db.store.vacuum(1) >= 1 and db.rows("SELECT * FROM t") == [{"id": 1}]
