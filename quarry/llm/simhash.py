@@ -1,15 +1,18 @@
-"""Near-duplicates by SimHash, compared bit-sliced; and by the Jaccard similarity of shingle sets.
+"""Near-duplicates by SimHash, compared bit-sliced.
 
 Distinct fingerprints meet in buckets of two equal quarters: with at most two differing bits, two of the
 four quarters are equal, so six tables of buckets miss no link. In a bucket, fingerprints are stored
 vertically, 64 of them in a word of each bit plane; a query runs down the planes and adds its differences to
 carry-save counters, 64 distances at once, and blocks all of whose distances exceed the radius are abandoned.
-A bucket gives a star for each of its components, not its pairs. Buckets over ``bucket_limit`` are
-linked exactly another way: two fingerprints differ in at most two bits just if they share a neighbour at
-one bit or less, so grouping the 65 neighbours of each and linking to the smallest is complete."""
+A bucket gives a star for each of its components, not its pairs. A bucket over ``bucket_limit`` is dealt once
+more by two equal bytes of the half that is not fixed yet, which again misses no link and leaves 65,536 fingerprints at most.
+
+Near copies by the Jaccard similarity of shingle sets (:func:`representatives`) take the same comparison, on fingerprints of 256 bits
+within groups that MinHash bands connect; what lies within its wide radius is then counted on the sets themselves."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
 
@@ -118,8 +121,8 @@ def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def _small(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
-    """Position of each fingerprint's root in buckets of up to 64, a block each, all at once."""
+def _near_in_small(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
+    """For buckets of up to 64, a block each and all at once: near[p, b] has the lanes of bucket b that are within the radius of its lane p, as bits."""
     n, most = len(starts), int(sizes.max())
     padded = np.zeros((n, 64, prints.shape[1]), np.uint64)
     row, lane = np.repeat(np.arange(n), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -130,6 +133,13 @@ def _small(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: in
     for p in range(most):
         has = np.flatnonzero(sizes > p)
         near[p, has] = within(planes[:, has], padded[has, p], lanes[has], radius)
+    return near
+
+
+def _small(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
+    """Position of each fingerprint's root in buckets of up to 64."""
+    near = _near_in_small(prints, starts, sizes, radius)
+    most, row, lane = len(near), np.repeat(np.arange(len(starts)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     while True:  # widen each lane's set by those of its members until none grows
         before = near.copy()
         for p in range(most):
@@ -145,59 +155,38 @@ def _small(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: in
     return starts[row] + first[lane, row]
 
 
-def _large(prints: np.ndarray, radius: int, at_once: int = 64) -> np.ndarray:
-    """Position of each fingerprint's root in one bucket.
-
-    Components are grown: what was just reached is compared with what was not yet, and new seeds join in when nothing else waits."""
-    n = len(prints)
-    parent, label = np.arange(n), np.arange(n)
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = int(parent[i])
-        return i
-
-    pool, planes, alive, front = np.arange(n), bit_planes(prints), np.ones(n, bool), np.zeros(0, np.int64)
-    while True:
-        if len(front) < at_once:
-            seeds = np.flatnonzero(alive)[: at_once - len(front)]
-            alive[seeds] = False
-            batch, front = np.concatenate([front, pool[seeds]]), front[:0]
-            if not len(batch):
-                break
-            apart = np.bitwise_count(prints[batch][:, None] ^ prints[batch][None]).sum(2, dtype=np.int64)
-            for i, j in np.argwhere(np.triu(apart <= radius, 1)):
-                parent[find(int(label[batch[i]]))] = find(int(label[batch[j]]))
-        else:
-            batch, front = front[:at_once], front[at_once:]
-        lanes = np.zeros(planes.shape[1] * 64, bool)
-        lanes[: len(alive)] = alive
-        lanes = np.packbits(lanes, bitorder="little").view(np.uint64)
-        words = np.flatnonzero(lanes)
-        if not len(words):
-            continue
-        tiles = within(np.tile(planes[:, words], len(batch)), np.repeat(prints[batch], len(words), axis=0), np.tile(lanes[words], len(batch)), radius)
-        hits = np.unpackbits(tiles.view(np.uint8).reshape(len(batch), 8 * len(words)), axis=1, bitorder="little").astype(bool)
-        found = np.flatnonzero(hits.any(0))
-        if not len(found):
-            continue
-        hits = hits[:, found]
-        by = hits.argmax(0)
-        for q in np.flatnonzero(hits.any(1)):
-            for other in np.unique(by[hits[q]]).tolist():
-                parent[find(int(label[batch[q]]))] = find(int(label[batch[other]]))
-        at = words[found // 64] * 64 + found % 64
-        label[pool[at]] = label[batch[by]]
-        alive[at] = False
-        front = np.concatenate([front, pool[at]])
-        if 2 * alive.sum() < len(pool):
-            pool = pool[alive]
-            planes, alive = bit_planes(prints[pool]), np.ones(len(pool), bool)
-    ends = np.array([find(int(x)) for x in label])
-    least = np.full(n, n)
-    np.minimum.at(least, ends, np.arange(n))
-    return least[ends]
+def _large(prints: np.ndarray, radius: int) -> np.ndarray:
+    """Position of each fingerprint's root in one bucket: the least that links lead to. Each block of 64 is compared with itself and all later ones."""
+    root = np.arange(len(prints))
+    for q, found in _near_in_large(prints, radius):
+        roots = np.unique(root[np.append(found, q)])
+        if len(roots) > 1:
+            root[np.isin(root, roots[1:])] = roots[0]
+    return root
+
+
+def _near_in_large(prints: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one bucket each position that has later ones within the radius, and these."""
+    n, planes = len(prints), bit_planes(prints)
+    valid = np.packbits(np.arange(planes.shape[1] * 64) < n, bitorder="little").view(np.uint64)
+    for lo in range(0, n, 64):
+        rest, queries = planes[:, lo // 64 :], prints[lo : lo + 64]
+        words = rest.shape[1]
+        near = within(np.tile(rest, len(queries)), np.repeat(queries, words, axis=0), np.tile(valid[lo // 64 :], len(queries)), radius)
+        hits = np.unpackbits(near.view(np.uint8).reshape(len(queries), 8 * words), axis=1, bitorder="little")
+        for q in np.flatnonzero(hits.sum(1, dtype=np.int64) > 1).tolist():
+            found = np.flatnonzero(hits[q, q + 1 :])
+            if len(found):
+                yield lo + q, found + (lo + q + 1)
+
+
+def _alike_in_size(sizes: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Buckets of two to 64 fingerprints, those of like sizes together."""
+    at_once = max(64, 4096 // width)  # a bucket takes 64 x 64 bytes for each word while it is turned into planes
+    for low, high in ((2, 4), (5, 16), (17, 64)):
+        these = np.flatnonzero((sizes >= low) & (sizes <= high))
+        for lo in range(0, len(these), at_once):
+            yield these[lo : lo + at_once]
 
 
 def _prints(column: pa.Array) -> np.ndarray:
@@ -216,13 +205,9 @@ def _stars(radius: int):
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
         root = np.arange(len(key))
-        for low, high in ((2, 4), (5, 16), (17, 64)):
-            these = np.flatnonzero((sizes >= low) & (sizes <= high))
-            at_once = max(64, 4096 // prints.shape[1])  # a bucket takes 64 x 64 bytes for each word while it is turned into planes
-            for lo in range(0, len(these), at_once):
-                pick = these[lo : lo + at_once]
-                at = np.repeat(starts[pick], sizes[pick]) + np.arange(sizes[pick].sum()) - np.repeat(np.cumsum(sizes[pick]) - sizes[pick], sizes[pick])
-                root[at] = _small(prints, starts[pick], sizes[pick], radius)
+        for pick in _alike_in_size(sizes, prints.shape[1]):
+            at = np.repeat(starts[pick] - np.cumsum(sizes[pick]) + sizes[pick], sizes[pick]) + np.arange(sizes[pick].sum())
+            root[at] = _small(prints, starts[pick], sizes[pick], radius)
         for k in np.flatnonzero(sizes > 64):
             s = slice(starts[k], starts[k] + sizes[k])
             root[s] = starts[k] + _large(prints[s], radius)
@@ -254,19 +239,24 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, bucket_li
     placed = distinct.select("fp", F.explode(keys).alias("key"))
     sizes = placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = scratch.keep(placed.join(sizes, "key"), "met")
-    cold = met.filter(F.col("n") <= bucket_limit).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
-    hot = met.filter(F.col("n") > bucket_limit).select("fp").distinct()
-    neighbours = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
-    near = hot.select("fp", F.explode(neighbours).alias("at"))
-    stars = near.join(near.groupBy("at").agg(F.min("fp").alias("least")), "at").select(F.col("fp").alias("u"), F.col("least").alias("v"))
-    return cold.mapInArrow(_stars(radius), "u long, v long").union(stars if radius == 2 else stars.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)).filter("u != v")
+    # the two quarters that a table does not fix, as one number, and of it two bytes of four
+    others = F.array(*[F.shiftleft(quarter(c), 16).bitwiseOR(quarter(d)) for c, d in ([q for q in range(4) if q not in ab] for ab in TABLES)])
+    loose = F.element_at(others, F.shiftright("key", 32).cast("int") + 1)
+    byte = lambda i: F.shiftright("loose", 8 * i).bitwiseAND(F.lit(0xFF))
+    again = F.array(*[F.lit(1 << 60).bitwiseOR(F.shiftleft(F.col("key") * len(TABLES) + t, 16)).bitwiseOR(F.shiftleft(byte(a), 8)).bitwiseOR(byte(b)) for t, (a, b) in enumerate(TABLES)])
+    hot = met.filter(F.col("n") > bucket_limit).withColumn("loose", loose).select(F.explode(again).alias("key"), "fp")
+    buckets = met.filter(F.col("n") <= bucket_limit).select("key", "fp").union(hot)
+    return buckets.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_stars(radius), "u long, v long")
 
 
-# --- similarity of 0.8 and more: bands of MinHash values find candidates, the shingle sets themselves decide ---
+# --- similarity of 0.8 and more: bands of MinHash values make groups, bit-sliced fingerprints are compared in them, the shingle sets decide ---
 
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
 #: Least values in a band, and bands. Two sets of similarity s share no band with a chance of (1 - s^7)^48, whatever the number of texts: 1.3e-5 at 0.8.
 BAND, TABLES_OF_BANDS = 7, 48
+#: 64-bit words of a set's fingerprint, and the bits that may differ. Two sets of similarity 0.8 differ in a bit with a chance of 0.15, very small ones of up
+#: to 0.19: in 39 to 48 of 256 bits, with a deviation of 6. Over 80 are five deviations away, and unrelated sets at 128 stay six below.
+WIDE, WIDE_RADIUS = 4, 80
 #: Shingles in a part of a group of candidates: two parts are compared at once, in a task's memory.
 PART_SHINGLES = 1 << 20
 
@@ -301,73 +291,82 @@ def _ratio(similarity: float) -> tuple[int, int]:
     return Fraction(str(similarity)).as_integer_ratio()
 
 
-def alike(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
-    """For each set the position of one that stands for its component, where sets of Jaccard ``similarity`` or more are linked. Exact.
+def wide_fingerprint(hashes: np.ndarray, width: int = WIDE) -> np.ndarray:
+    """SimHash of a set in ``width`` words: the first from the hashes themselves, each other from a mix of them."""
+    out, h = np.zeros(width, np.uint64), hashes
+    for k in range(width):
+        counts = np.zeros(64, np.int64)
+        for lo in range(0, len(h), CHUNK):
+            counts += _bit_counts(h[lo : lo + CHUNK])
+        out[k] = np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0]
+        h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E37_79B9_7F4A_7C15)
+        h ^= h >> np.uint64(29)
+    return out
+
+
+def _near_sets(prints: np.ndarray, sizes: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of buckets that stand one after another, positions that have later ones of their bucket within the radius, and these."""
+    starts = np.cumsum(sizes) - sizes
+    for pick in _alike_in_size(sizes, prints.shape[1]):
+        near = _near_in_small(prints, starts[pick], sizes[pick], radius)
+        for p, lanes in enumerate(near):
+            lanes = lanes >> np.uint64(p) & (ONES - np.uint64(1))
+            for b in np.flatnonzero(lanes).tolist():
+                at = int(starts[pick[b]]) + p
+                yield at, at + np.flatnonzero(np.unpackbits(lanes[b : b + 1].view(np.uint8), bitorder="little"))
+    for b in np.flatnonzero(sizes > 64).tolist():
+        for q, found in _near_in_large(prints[starts[b] : starts[b] + sizes[b]], radius):
+            yield int(starts[b]) + q, int(starts[b]) + found
 
-    Such sets share one of their rarest shingles: of n, all but the commonest ceil(similarity n) - 1. Components
-    are grown from seeds, and what was reached is not compared again, so a large group of copies takes no pairs."""
+
+def alike(sets: list[np.ndarray], similarity: float = SIMILARITY, sizes: np.ndarray | None = None, radius: int = WIDE_RADIUS) -> np.ndarray:
+    """For each set the position of the first of its component, where sets of Jaccard ``similarity`` or more are linked within a bucket of ``sizes`` (without: all are one).
+
+    Fingerprints within ``radius`` are found bit-sliced, and those pairs are counted on the sets whose components are still two, so a large group of copies is not counted pair by pair."""
     num, den = _ratio(similarity)
-    root, sizes = np.arange(len(sets)), np.array([len(x) for x in sets], np.int64)
-    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.empty(len(counts), np.int64)
-    place[np.argsort(counts, kind="stable")] = np.arange(len(counts))
-    counts = np.sort(counts)
-    ranks = [np.sort(x) for x in np.split(place[at], np.cumsum(sizes)[:-1])]
-    prefixes = [r[: n - -(-num * n // den) + 1] for r, n in zip(ranks, sizes.tolist(), strict=True)]
-    prefixes = [p[counts[p] > 1] for p in prefixes]  # a shingle of one set meets none
-    inside, alive, waiting, indexed = np.zeros(len(counts), bool), np.ones(len(sets), bool), [], 0
-    for seed in range(len(sets)):
-        if not alive[seed]:
-            continue
-        alive[seed] = False
-        waiting.append(seed)
-        while waiting:
-            if (left := int(alive.sum())) == 0:
-                return root
-            if not indexed or 2 * left < indexed:
-                live = np.flatnonzero(alive)
-                indexed = left
-                tokens = np.concatenate([prefixes[i] for i in live])
-                order = np.argsort(tokens, kind="stable")
-                tokens, holders = tokens[order], np.repeat(live, [len(prefixes[i]) for i in live])[order]
-            x = waiting.pop()
-            lo, hi = np.searchsorted(tokens, prefixes[x]), np.searchsorted(tokens, prefixes[x], "right")
-            met = [holders[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if a < b]
-            if not met:
+    root, size = np.arange(len(sets)), np.array([len(x) for x in sets], np.int64)
+    prints = np.stack([wide_fingerprint(x) for x in sets])
+    for q, found in _near_sets(prints, np.array([len(sets)]) if sizes is None else sizes, radius):
+        met = found[(root[found] != root[q]) & (den * size[found] >= num * size[q]) & (den * size[q] >= num * size[found])]
+        for y in met.tolist():
+            if root[y] == root[q]:
                 continue
-            met = np.unique(np.concatenate(met))
-            met = met[alive[met] & (den * sizes[met] >= num * sizes[x]) & (den * sizes[x] >= num * sizes[met])]
-            inside[ranks[x]] = True
-            for y in met.tolist():
-                both = int(inside[ranks[y]].sum())
-                if den * both >= num * int(sizes[x] + sizes[y] - both):
-                    alive[y] = False
-                    root[y] = root[x]
-                    waiting.append(y)
-            inside[ranks[x]] = False
+            few, many = sorted((sets[q], sets[y]), key=len)
+            both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+            if den * both >= num * int(size[q] + size[y] - both):
+                low, high = sorted((int(root[q]), int(root[y])))
+                root[root == high] = low
     return root
 
 
+#: Sets that are compared at once at most, but for those of one larger tile.
+SETS_AT_ONCE = 4096
+
+
 def _alike_in_tiles(similarity: float):
     """Rows of (tile, fp, text), sorted by tile -> for each text that is linked in its tile, the fp that stands for its component there."""
 
-    def edges(prints: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
-        root = alike(sets, similarity) if len(sets) > 1 else np.zeros(len(sets), np.int64)
+    def edges(prints: list[bytes], sets: list[np.ndarray], sizes: list[int]) -> pa.RecordBatch:
+        root = alike(sets, similarity, np.array(sizes)) if sets else np.zeros(0, np.int64)
         linked = np.flatnonzero(root != np.arange(len(sets))).tolist()
         return pa.RecordBatch.from_arrays([pa.array([prints[i] for i in linked], pa.binary()), pa.array([prints[root[i]] for i in linked], pa.binary())], names=["u", "v"])
 
     def run(batches):
-        now, prints, sets = None, [], []
+        now, prints, sets, sizes, held = None, [], [], [], 0
         for batch in batches:
             for tile, fp, text in zip(batch.column("tile").to_pylist(), batch.column("fp").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 if tile != now:
-                    if len(sets) > 1:
-                        yield edges(prints, sets)
-                    now, prints, sets = tile, [], []
+                    if len(sets) >= SETS_AT_ONCE or held >= PART_SHINGLES:
+                        yield edges(prints, sets, sizes)
+                        prints, sets, sizes, held = [], [], [], 0
+                    now = tile
+                    sizes.append(0)
                 prints.append(bytes(fp))
                 sets.append(shingle_set(text.as_py() or b""))
-        if len(sets) > 1:
-            yield edges(prints, sets)
+                sizes[-1] += 1
+                held += len(sets[-1])
+        yield edges(prints, sets, sizes)
+        pa.default_memory_pool().release_unused()
 
     return run
 

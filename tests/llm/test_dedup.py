@@ -6,6 +6,8 @@ import pytest
 import xxhash
 
 from quarry.llm import simhash
+from quarry.llm.common import Scratch
+from quarry.llm.components import components
 from quarry.llm.exact_dedup import deduplicated, exact_groups
 from tests.llm.conftest import documents
 
@@ -94,6 +96,45 @@ def test_bit_sliced_roots(width):
                 assert (simhash._small(p, np.array([0]), np.array([len(p)]), 2) == want).all()
 
 
+def chains(n, rng, width=1):
+    """n chains of four, neighbours two bits apart and chains far from each other, so that ends sort before what links them."""
+    out = []
+    for head in rng.integers(0, 2**63, (n, width), dtype=np.uint64):
+        bits = rng.permutation(64)[:6].reshape(3, 2)
+        for k in range(4):
+            fp = head.copy()
+            for b in bits[:k].ravel():
+                fp[0] ^= np.uint64(1 << int(b))
+            out.append(fp)
+    return np.array(sorted(map(tuple, out)), np.uint64)
+
+
+@pytest.mark.parametrize("width", [1, 4, 8])
+@pytest.mark.parametrize("n", [40, 100, 300])
+def test_chains_in_one_bucket_stay_whole(n, width):
+    p = chains(n, np.random.default_rng(n), width)
+    want = brute_roots(p)
+    assert len(set(want.tolist())) == n and (simhash._large(p, 2) == want).all()
+
+
+@pytest.mark.parametrize("limit", [simhash.BUCKET_LIMIT, 50])
+def test_links_of_hot_buckets_are_whole(spark, limit):
+    """Chains of which all share two quarters, so that one bucket holds them; above the limit it is dealt again by bytes."""
+    rng = np.random.default_rng(8)
+    low = np.unique(chains(100, rng).ravel() & np.uint64(0xFFFF_FFFF))
+    prints = low | np.uint64(0x8123_4567 << 32)
+    want = brute_roots(prints)
+    distinct = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    scratch = Scratch(spark, "test")
+    rooted = {r.vertex: r.root for r in components(simhash.links(distinct, scratch, bucket_limit=limit), scratch).collect()}
+    fps = prints.view(np.int64).tolist()
+    groups = {}
+    for fp, root in zip(fps, want.tolist(), strict=True):
+        groups.setdefault(root, []).append(fp)
+    assert all(len({rooted.get(fp, fp) for fp in members}) == 1 for members in groups.values())
+    assert len({rooted.get(fp, fp) for fp in fps}) == len(groups)
+
+
 def test_representatives_take_near_copies_and_leave_the_rest(spark):
     rng = np.random.default_rng(2)
     vocabulary = np.array([f"w{i}" for i in range(5000)])
@@ -169,8 +210,28 @@ def test_alike_against_brute_force():
                 copy = base.copy()
                 copy[rng.integers(0, len(copy), len(copy) // int(rng.integers(3, 15)))] = rng.integers(0, 400)
                 sets.append(np.unique(copy))
+        sets = [s * np.uint64(0x9E37_79B9_7F4A_7C15) for s in sets]  # hashes, as the sets hold them
+        sets = [np.sort(s) for s in sets]
         near = [[5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) for b in sets] for a in sets]
         root = np.arange(len(sets))
         while (new := np.array([root[row].min() for row in near])).tolist() != root.tolist():
             root = new
         assert simhash.alike(sets).tolist() == root.tolist()
+        twice = simhash.alike(sets + sets, sizes=np.array([len(sets)] * 2)).tolist()
+        assert twice == [*root.tolist(), *(root + len(sets)).tolist()]
+
+
+def test_a_large_bucket_of_sets_against_brute_force():
+    rng = np.random.default_rng(9)
+    sets = []
+    for n in (30, 100, 400):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for _ in range(60):
+            copy = base.copy()
+            copy[rng.integers(0, n, int(rng.integers(0, n // 6)))] = rng.integers(0, 2**64, dtype=np.uint64)
+            sets.append(np.unique(copy))
+    near = [[5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) for b in sets] for a in sets]
+    root = np.arange(len(sets))
+    while (new := np.array([root[row].min() for row in near])).tolist() != root.tolist():
+        root = new
+    assert simhash.alike(sets).tolist() == root.tolist()
