@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (a local session, as in tests) a temporary folder is used."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    Only a session on one machine (master ``local``, as in tests) may name none: it then uses a temporary folder. Anywhere else that
+    folder would be another one on each machine, so a ValueError says what is missing."""
+    conf = spark.sparkContext.getConf()
+    named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    if not named and not (conf.get("spark.master") or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return named or os.path.join(tempfile.gettempdir(), "quarry-shared")
 
 
@@ -24,12 +30,13 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if not getattr(context, "_quarry_shipped", False):
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        path = os.path.join(tempfile.mkdtemp(prefix="quarry-"), "quarry-sources.zip")
+        path = os.path.join(folder := tempfile.mkdtemp(prefix="quarry-"), "quarry-sources.zip")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         with zipfile.ZipFile(path, "w") as z:
-            for folder, _, names in os.walk(root):
+            for place, _, names in os.walk(root):
                 for name in names:
                     if name.endswith(".py"):
-                        z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(root)))
+                        z.write(os.path.join(place, name), os.path.relpath(os.path.join(place, name), os.path.dirname(root)))
         context.addPyFile(path)
         context._quarry_shipped = True
 
@@ -37,13 +44,23 @@ def ship(spark: SparkSession) -> None:
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet under :func:`shared_dir`.
 
-    A written table cuts the lineage: losing an executor never re-runs what stands before it."""
+    A written table cuts the lineage: losing an executor never re-runs what stands before it. Results read them, so they stay
+    until the application ends, and then go."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+        path, files = self._hadoop(self.root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _hadoop(self, path: str) -> tuple:
+        """The path and its file system, as Hadoop knows them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
@@ -54,9 +71,38 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Deletes a table that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._hadoop(self.path(name))
+        files.delete(path, True)
+
+
+#: Bytes of input for each partition of a shuffle.
+PARTITION_BYTES = 64 << 20
+
+
+def _partitions(df: DataFrame) -> list[int]:
+    """How many partitions a shuffle of ``df`` takes where the tables that it reads need more than the session's number; else none, and adaptive execution may take fewer.
+
+    The tables' own sizes count: what a plan expects of a join is its sides' product."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    n = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) // PARTITION_BYTES
+    return [n] if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) < n < 1 << 24 else []  # beyond it a size is not known
+
+
+def by_range(df: DataFrame, *keys: str | Column) -> DataFrame:
+    return df.repartitionByRange(*_partitions(df), *keys)
+
+
+def by_hash(df: DataFrame, *keys: str | Column) -> DataFrame:
+    return df.repartition(*_partitions(df), *keys)
+
+
+#: Rows of a few numbers that are sent to every task at most: some tens of megabytes.
+SENT_ROWS = 1 << 20
+
+
+def sent(small: DataFrame, rows: int) -> DataFrame:
+    """``small``, to be sent to every task if it has few enough ``rows``; else it is joined by a shuffle."""
+    return F.broadcast(small) if rows <= SENT_ROWS else small
 
 
 class Recent(dict):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import Scratch, text_or_empty
+from quarry.llm.common import Scratch, by_range, text_or_empty
 
 SPACES = " \t\n\x0b\f\r"
 PREFIX = 32
@@ -84,14 +84,14 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scratch = Scratch(spark, "exact")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.char_length(text_or_empty(text_col)).cast("long").alias("points"), normalised(text_col).alias("norm"))
     keyed = rows.select("id", "points", "norm", F.substring("norm", 1, PREFIX).alias("prefix"), F.xxhash64("norm").alias("hash"))
-    dealt = keyed.repartitionByRange("prefix", "hash", "id").sortWithinPartitions("prefix", "hash", "norm", "id").select("id", "points", "norm", "hash")
+    dealt = by_range(keyed, "prefix", "hash", "id").sortWithinPartitions("prefix", "hash", "norm", "id").select("id", "points", "norm", "hash")
     runs = scratch.keep(dealt.mapInArrow(_runs, "id long, part int, run int, best boolean, keep long, keep_points long, size long, text_sha256 string, edge string"), "runs")
     edges = runs.filter(F.col("edge").isNotNull()).select("part", "run", "edge", "size", F.struct((-F.col("keep_points")).alias("less"), F.col("keep").isNull().alias("none"), F.col("keep").alias("keep"), F.col("part").alias("part"), F.col("run").alias("run")).alias("candidate"))
     whole = edges.groupBy("edge").agg(F.sum("size").alias("all_size"), F.min("candidate").alias("winner"))
-    # two rows for each partition but for colliding hashes, without their texts
+    # two rows for each partition but for colliding hashes, without their texts: a written table, whose size decides whether it is sent to every task
     joined = scratch.keep(edges.join(whole, "edge").select("part", "run", "all_size", "winner"), "edges")
     wins = (F.col("winner.part") == F.col("part")) & (F.col("winner.run") == F.col("run"))
-    out = runs.drop("edge").join(F.broadcast(joined), ["part", "run"], "left")
+    out = runs.drop("edge").join(joined, ["part", "run"], "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("winner").isNull(), F.col("keep")).otherwise(F.col("winner.keep")).alias("keep_id"), F.coalesce("all_size", "size").alias("group_size"), (F.col("best") & F.coalesce(wins, F.lit(True))).alias("kept"), "text_sha256")
 
 
@@ -139,11 +139,11 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col(f"row.`{text_col}`").cast("string")
     norm = F.translate(F.coalesce(text, F.lit("")), SPACES, "")
     rows = df.select(F.struct("*").alias("row")).select("row", F.col(f"row.`{id_col}`").cast("long").alias("id"), F.char_length(F.coalesce(text, F.lit(""))).cast("long").alias("points"), F.substring(norm, 1, PREFIX).alias("prefix"), F.xxhash64(norm).alias("hash"))
-    dealt = rows.repartitionByRange("prefix", "hash", "id").withColumn("norm", norm).sortWithinPartitions("prefix", "hash", "norm", "id").select("row", "id", "points", "hash", "norm")
+    dealt = by_range(rows, "prefix", "hash", "id").withColumn("norm", norm).sortWithinPartitions("prefix", "hash", "norm", "id").select("row", "id", "points", "hash", "norm")
     schema = T.StructType([rows.schema["row"], *(T.StructField(n, t) for n, t in (("id", T.LongType()), ("points", T.LongType()), ("part", T.IntegerType()), ("run", T.LongType()), ("edge", T.StringType())))])
     best = scratch.keep(dealt.mapInArrow(_bests, schema), "best")
     edges = best.filter(F.col("edge").isNotNull()).select("edge", F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("none"), "id", "part", "run").alias("candidate"))
     winners = edges.groupBy("edge").agg(F.min("candidate").alias("winner"))
     lost = scratch.keep(edges.join(winners, "edge").filter(F.col("candidate.part") * F.lit(1 << 40) + F.col("candidate.run") != F.col("winner.part") * F.lit(1 << 40) + F.col("winner.run")).select("candidate.part", "candidate.run"), "lost")
-    # two rows for each partition but for colliding hashes
-    return best.join(F.broadcast(lost), ["part", "run"], "left_anti").select("row.*")
+    # two rows for each partition but for colliding hashes, in a table whose size decides how it is joined
+    return best.join(lost, ["part", "run"], "left_anti").select("row.*")

@@ -241,8 +241,8 @@ def _model(path: str) -> bytes:
 def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with the ids of each text as array<int>; null for null, empty for empty.
 
-    All columns and repeated rows stay; a column named ``ids_col`` is replaced. Texts of any length are encoded whole. The
-    model's file is read on the driver."""
+    All columns and repeated rows stay; a column named ``ids_col`` is replaced. Texts of any length are encoded whole. An empty table
+    gives no rows. The model's file is read on the driver; one with a character map, folded space or user-defined pieces is refused with a ValueError."""
     ship(df.sparkSession)
     data = _model(model_path)
     base = df.drop(ids_col)
@@ -257,7 +257,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``df`` with the text of each array of ids; null for null, empty for empty. A column named ``text_col`` is replaced."""
+    """``df`` with the text of each array of ids; null for null, empty for empty. A column named ``text_col`` is replaced, all others and repeated rows stay. An empty table gives no rows."""
     ship(df.sparkSession)
     data = _model(model_path)
     base = df.drop(text_col)

@@ -1,196 +1,336 @@
 """Adaptive context-mixing range coder for token ids.
 
-A block is coded by itself: its tables start empty. For each id, order-2 and order-1 contexts predict an id, and
-order 0 has adaptive frequencies of its leading bits. Three adaptive distributions over what happens (the order-2
-prediction is right, the order-1 prediction is right, or neither and the id's three leading bits), one without context, one by the
-state of the order-1 prediction, one by that of order 2, are mixed by adding them up, and drive a carry-less range
-coder. An id that was not predicted goes on with the next two nibbles under order-0 distributions and five plain
-bits. Many blocks are coded side by side, a lane of the arrays each."""
+A block is coded by itself: its tables start empty. The next id is one of four things: what order 2 predicts (the id that last
+followed the two ids before), what order 1 predicts, an id of the block's own order-0 counts, or a new one. Three adaptive
+distributions over these four, by the state of order 2, of order 1, and without context, are mixed; the mixing weights move to
+the distributions that foretold best. An id of order 0 is coded by its share of the counts, all of its bits; a new id takes 16
+bits. All this drives a carry-less range coder. Distributions and weights adapt after each stretch of 64 ids, the counts
+whenever the block has grown by about a half. Many blocks are coded side by side, a lane of the arrays each.
+
+The model uses integers and single additions, multiplications and divisions of 32-bit floats alone, so any machine decodes what
+another has coded."""
 
 from __future__ import annotations
 
 import numpy as np
 
-SYMBOLS = 16
-#: Bits of the totals: of the rows without context and of order 1 (that of order 2 has twice as much), of nibbles, of what is not modelled.
-ROW, NIBBLE, PLAIN = 9, 10, 5
-INNER = 2 * NIBBLE + PLAIN
-TOTAL = ROW + 2 + INNER
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
-WORD = np.uint64(16)
-SLOTS1, SLOTS2 = 1 << 11, 1 << 12
+STRETCH = 64
+#: Bits of a distribution's total, of what an event is divided into, and of both.
+ROW, INNER = 14, 16
+TOTAL = ROW + INNER
+#: What every event keeps of a distribution, at least.
+SHARE = 16
+#: The range is kept above BOTTOM, in words of 32 bits; an id takes 30 at most, so that one word for an id is enough.
+BOTTOM, WORD, BELOW = np.uint64(1 << 32), np.uint64(32), np.uint64((1 << 32) - 1)
+SLOTS1, SLOTS2 = 1 << 9, 1 << 10
+ORDER2, ORDER1, ORDER0, NEW = map(np.uint64, range(4))
+#: Four 16-bit fields in one number: bits of a field's place, the last field, a one in each, and the high bit of each.
+FIELD, LAST, FIELDS, HIGH = np.uint64(4), np.uint64(0xFFFF), np.uint64(0x0001_0001_0001_0001), np.uint64(0x8000_8000_8000_8000)
+IN, LIMIT = np.uint64(INNER), np.uint64((1 << TOTAL) - 1)
+#: States of order 2 (how often in a row it was right, whether order 1 agrees), states of order 1, and all distributions.
+STATES2, STATES1 = 8, 4
+ROWS = STATES2 + STATES1 + 1
+START = np.array([0.1, 0.1, 0.8, 1.0], np.float32)
+DECAY, PACE, FLOOR = np.float32(0.96), np.float32(0.25), np.float32(0.02)
 
 
-def _targets(bits: int) -> np.ndarray:
-    """For each symbol, the lower bounds that an update moves towards; every symbol keeps a share."""
-    at = np.arange(SYMBOLS)
-    return (at + ((1 << bits) - SYMBOLS) * (at > np.arange(SYMBOLS)[:, None])).astype(np.int16)
+def _growth(most: int) -> list[int]:
+    """Sizes at which a block's counts are taken anew."""
+    out = [STRETCH]
+    while out[-1] < most:
+        out.append(max(out[-1] + STRETCH, out[-1] * 3 // 2 // STRETCH * STRETCH))
+    return out[:-1]
 
 
-ROW_TARGET, DOUBLE_TARGET, NIBBLE_TARGET = _targets(ROW), _targets(ROW + 1), _targets(NIBBLE)
+class _Lanes:
+    """The contexts, distributions and coder of ``n`` blocks. The first ``k`` of them go on."""
 
+    def __init__(self, n: int):
+        self.n, self.lane = n, np.arange(n)
+        self.slots = np.zeros(n * (SLOTS1 + SLOTS2), np.uint32)  # the id that followed last, and how often in a row it was right
+        self.slot_base = np.array([self.lane * SLOTS1, n * SLOTS1 + self.lane * SLOTS2])
+        self.hash, self.hash_before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.counts = np.empty((ROWS, 4, n), np.float32)
+        self.counts[:] = START[:, None]
+        self.weights = np.full((3, n), 1 / 3, np.float32)
+        self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+        self.mix()
 
-def _even(bits: int, shape: tuple[int, ...]) -> np.ndarray:
-    return np.broadcast_to((np.arange(SYMBOLS) << (bits - 4)).astype(np.int16), (*shape, SYMBOLS)).copy()
+    def mix(self) -> None:
+        """The upper bounds of the four events for every pair of states, as one 64-bit number of four 16-bit ones."""
+        self.shares = self.counts / (self.counts[:, 0] + self.counts[:, 1] + self.counts[:, 2] + self.counts[:, 3])[:, None]
+        bounds, below = np.zeros((STATES2, STATES1, self.n, 4), np.uint16), np.zeros((ROWS, self.n), np.float32)
+        scale = self.weights * np.float32((1 << ROW) - 4 * SHARE)
+        for event in range(3):
+            below += self.shares[:, event]
+            two, one = scale[0] * below[:STATES2], scale[1] * below[STATES2:-1] + scale[2] * below[-1]
+            bounds[..., event] = two[:, None] + one
+            bounds[..., event] += np.uint16(SHARE * (event + 1))
+        bounds[..., 3] = 1 << ROW
+        self.bounds = bounds.view(np.uint64).ravel()
 
+    def adapt(self, state: np.ndarray, event: np.ndarray) -> None:
+        """Moves distributions and weights to what happened. Arrays (ids, n)."""
+        at = np.stack([state >> 2, (state & 3) + STATES2, np.full_like(state, ROWS - 1)])
+        at *= 4
+        at += event.view(np.int64)
+        at *= self.n
+        at += self.lane
+        told = self.shares.ravel().take(at)
+        told *= self.weights[:, None]
+        told *= np.float32(1024) / (told[0] + told[1] + told[2])
+        # how much of what happened each distribution answers for: whole numbers, so that their sum is the same in any order
+        answer = told.astype(np.int16).sum(1, dtype=np.int32).astype(np.float32)
+        answer += FLOOR
+        answer /= answer[0] + answer[1] + answer[2]
+        self.weights += (answer - self.weights) * PACE
+        self.counts *= DECAY
+        self.counts += np.bincount(at.ravel(), minlength=self.counts.size).reshape(self.counts.shape)
 
-def _put(rows: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
-    """rows[at] = values, a whole row at once."""
-    rows.view("V32").ravel()[at] = values.view("V32").ravel()
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """For a stretch of ids that is known, the slots of both orders at each: an array (ids, 2, n)."""
+        hashes = np.empty((len(ids) + 2, self.n), np.int64)
+        hashes[0], hashes[1] = self.hash_before, self.hash
+        np.multiply(ids, 40503, out=hashes[2:], dtype=np.int64)
+        self.hash_before, self.hash = hashes[-2], hashes[-1]
+        return np.stack([hashes[1:-1] >> 3 & SLOTS1 - 1, hashes[1:-1] + hashes[:-2] * 3 >> 4 & SLOTS2 - 1], axis=1) + self.slot_base
 
+    def look(self, k: int) -> np.ndarray:
+        """What the slots of both orders hold for the next id of the first ``k`` blocks."""
+        self.at = self.slot_base[:, :k].copy()
+        self.at[0] += self.hash[:k] >> 3 & SLOTS1 - 1
+        self.at[1] += self.hash[:k] + self.hash_before[:k] * 3 >> 4 & SLOTS2 - 1
+        return self.slots.take(self.at)
 
-def _towards(rows: np.ndarray, target: np.ndarray, rate: int) -> np.ndarray:
-    target -= rows
-    target >>= rate
-    target += rows
-    return target
+    def note(self, held: np.ndarray, ids: np.ndarray) -> None:
+        """Puts the next ids where :func:`look` looked."""
+        k = len(ids)
+        self.slots[self.at] = _renewed(held, ids.astype(np.uint32))
+        self.hash_before[:k], self.hash[:k] = self.hash[:k], ids.astype(np.int64) * 40503
 
+    def settle(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The lanes whose range is used up, and their leading words, which move on."""
+        moving = (self.range[:k] < BOTTOM).nonzero()[0]
+        low, wide = self.low.take(moving), self.range.take(moving)
+        lead = low >> WORD
+        across = ((low + wide >> WORD) != lead).nonzero()[0]
+        if len(across):  # the leading word is not settled: what lies beyond it is given up
+            wide[across] = (np.uint64(0) - low[across]) & BELOW
+        wide <<= WORD
+        low <<= WORD
+        self.low[moving], self.range[moving] = low, wide
+        return moving, lead
 
-def _find(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The last symbol of each row whose lower bound is ``value`` at most."""
-    under = (rows <= value.astype(np.int16)[:, None]).view(np.uint64)
-    counts = np.bitwise_count(under)
-    return (counts[:, 0] + counts[:, 1]).astype(np.int64) - 1
 
+def _renewed(held: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """What slots hold after an id: it, and how often in a row it was foretold."""
+    sure = held >> 16
+    sure += np.uint32(1)
+    np.minimum(sure, 3, out=sure)
+    sure *= (held & 0xFFFF) == ids
+    sure <<= 16
+    sure |= ids
+    return sure
 
-class _Lanes:
-    """The model and coder of ``n`` blocks."""
 
-    def __init__(self, n: int):
-        self.n, self.lane = n, np.arange(n)
-        self.plain, self.first, self.double = _even(ROW, (n,)), _even(ROW, (n * 32,)), _even(ROW + 1, (n * 8,))
-        self.second, self.third = _even(NIBBLE, (n * 8,)), _even(NIBBLE, (n * 128,))
-        self.guess1, self.guess2 = np.zeros(n * SLOTS1, np.uint16), np.zeros(n * SLOTS2, np.uint16)
-        self.sure1, self.sure2 = np.zeros(n * SLOTS1, np.int8), np.zeros(n * SLOTS2, np.int8)
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+def _told(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of slots (..., 2, n) what orders 1 and 2 predict, and the number of their states."""
+    guess, sure = held & 0xFFFF, held >> 16
+    return guess, (sure[..., 1, :] << 3) + ((guess[..., 0, :] == guess[..., 1, :]) << 2) + sure[..., 0, :]
+
+
+def _cut(bounds: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower bound and width of the events, from packed bounds."""
+    at = event << FIELD
+    high = bounds >> at & LAST
+    low = bounds << IN
+    low >>= at
+    low &= LAST
+    high -= low
+    return low, high
 
-    def look(self) -> None:
-        """What the contexts say of the next id."""
-        self.at1 = self.lane * SLOTS1 + ((self.last * 40503 >> 3) & (SLOTS1 - 1))
-        self.at2 = self.lane * SLOTS2 + ((self.last * 40503 + self.before * 60493 >> 4) & (SLOTS2 - 1))
-        self.p1, self.p2 = self.guess1.take(self.at1), self.guess2.take(self.at2)
-        self.s1, self.s2 = self.sure1.take(self.at1), self.sure2.take(self.at2)
-        self.row1 = self.lane * 32 + self.s1 * 8 + (self.last >> 13)
-        self.row2 = self.lane * 8 + self.s2 * 2 + (self.p1 == self.p2)
-        self.r1, self.r2 = self.first.take(self.row1, axis=0), self.double.take(self.row2, axis=0)
-        self.mix = self.plain + self.r1
-        self.mix += self.r2
-
-    @staticmethod
-    def _share(rows: np.ndarray, symbol: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower bound and width of the symbols."""
-        flat, at = rows.ravel(), np.arange(0, rows.size, SYMBOLS) + symbol
-        low, high = flat.take(at), flat.take(at + 1, mode="clip")
-        high[symbol == SYMBOLS - 1] = 1 << bits
-        return low.astype(np.int64), (high - low).astype(np.int64)
-
-    def learn(self, ids: np.ndarray, symbol: np.ndarray, missed: np.ndarray, own: tuple | None) -> None:
-        target = ROW_TARGET.take(symbol, axis=0)
-        self.plain += (target - self.plain) >> 5
-        _put(self.first, self.row1, _towards(self.r1, target, 4))
-        _put(self.double, self.row2, _towards(self.r2, DOUBLE_TARGET.take(symbol, axis=0), 4))
-        if own:
-            at2, rows2, n2, at3, rows3, n3 = own
-            _put(self.second, at2, _towards(rows2, NIBBLE_TARGET.take(n2, axis=0), 5))
-            _put(self.third, at3, _towards(rows3, NIBBLE_TARGET.take(n3, axis=0), 4))
-        small = ids.astype(np.uint16)
-        for guess, sure, at, p, s in ((self.guess1, self.sure1, self.at1, self.p1, self.s1), (self.guess2, self.sure2, self.at2, self.p2, self.s2)):
-            hit = p == small
-            guess[at] = np.where(hit | (s == 0), small, p)
-            sure[at] = np.where(hit, np.minimum(s + 1, 3), np.maximum(s - 1, 0))
-        self.before, self.last = self.last, ids
-
-    def narrow(self, cumulative: np.ndarray, width: np.ndarray, step: np.ndarray) -> None:
-        self.low += cumulative.astype(np.uint64) * step
-        self.range = width.astype(np.uint64) * step
-
-    def settle(self):
-        """Lanes whose leading word is settled, or whose range is used up, again and again; the caller moves a word for each."""
-        while True:
-            settled = (self.low ^ (self.low + self.range)) < TOP
-            moving = np.flatnonzero(settled | (self.range < BOTTOM))
-            if not len(moving):
-                return
-            cut = moving[~settled[moving]]
-            self.range[cut] = (np.uint64(0) - self.low[cut]) & (BOTTOM - np.uint64(1))
-            yield moving
-            self.low[moving] <<= WORD
-            self.range[moving] <<= WORD
+
+def _events(bounds: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """How many of the packed bounds each value has reached: in each field the high bit stays if the bound is not larger."""
+    over = value * FIELDS
+    over |= HIGH
+    over -= bounds
+    over &= HIGH
+    return np.bitwise_count(over).astype(np.uint64)
+
+
+def _quotient(value: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """value // step for quotients under 2^31: by floats, and put right by one where they round."""
+    out = (value / step).astype(np.int64).view(np.uint64)
+    rest = (value - out * step).view(np.int64)
+    out -= (rest < 0).view(np.uint8)
+    out += (rest >= step.view(np.int64)).view(np.uint8)
+    return out
+
+
+def _mask(these: np.ndarray) -> np.ndarray:
+    """All bits where it holds, none elsewhere."""
+    return np.negative(these.astype(np.uint64))
+
+
+def _counted(ids: np.ndarray, sizes: list[int], points: list[int]) -> np.ndarray:
+    """For each id of each block (row) the share of the counts that it has, out of 2^INNER: lower bound, and 2^16 times the width; no width, if it is not counted. Transposed."""
+    n, most = ids.shape
+    order = np.argsort(ids, axis=1, kind="stable")
+    held = np.take_along_axis(ids, order, 1)
+    begins = np.ones((n, most), bool)
+    np.not_equal(held[:, 1:], held[:, :-1], out=begins[:, 1:])
+    number = np.cumsum(begins.ravel(), dtype=np.int32) - np.int32(1)  # distinct ids of all blocks, one block after another
+    at = np.empty((n, most), np.int32)
+    np.put_along_axis(at, order, number.reshape(n, most), 1)
+    last = number[most - 1 :: most] + 1
+    shares, counts = np.zeros((n, most), np.uint32), np.zeros(int(last[-1]) + 1, np.int64)  # one before the first
+    for lo, hi, after in zip([0, *points], points, [*points[1:], most], strict=False):
+        live = int(np.searchsorted(-np.array(sizes), -hi))  # blocks come from the longest on
+        if not live:
+            break
+        own = counts[: int(last[live - 1]) + 1]
+        own[1:] += np.bincount(at[:live, lo:hi].ravel(), minlength=len(own) - 1)
+        # each block has ``hi`` ids counted, so bounds that run on from block to block are a multiple of 2^INNER off
+        until = (np.cumsum(own) << INNER) // hi
+        width = np.minimum(np.diff(until), 0xFFFF)
+        width <<= 16
+        width |= until[:-1] & 0xFFFF
+        shares[:live, hi:after] = width.astype(np.uint32).take(at[:live, hi:after])
+    return np.ascontiguousarray(shares.T)
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """Codes blocks of ids under 2^16, each by itself."""
-    n, most = len(blocks), max(map(len, blocks), default=0)
-    ids = np.zeros((most, n), np.int64)
-    for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    lanes, out, used = _Lanes(n), np.zeros((n, 2 * most + 16), np.uint16), np.zeros(n, np.int64)
-    for now in ids:
-        lanes.look()
-        hit2, hit1 = lanes.p2 == now, lanes.p1 == now
-        symbol = np.where(hit2, 0, np.where(hit1, 1, 2 + (now >> 13)))
-        cumulative, width = lanes._share(lanes.mix, symbol, ROW + 2)
-        cumulative, missed, own = cumulative << INNER, np.flatnonzero(symbol > 1), None
-        total = width << INNER
-        if len(missed):
-            x = now[missed]
-            at2, at3 = missed * 8 + (x >> 13), missed * 128 + (x >> 9)
-            n2, n3, rows2, rows3 = x >> 9 & 15, x >> 5 & 15, lanes.second.take(at2, axis=0), lanes.third.take(at3, axis=0)
-            (c2, f2), (c3, f3) = lanes._share(rows2, n2, NIBBLE), lanes._share(rows3, n3, NIBBLE)
-            inner = (c2 << (NIBBLE + PLAIN)) + f2 * ((c3 << PLAIN) + f3 * (x & 31))
-            cumulative[missed] += width[missed] * inner
-            total[missed] = width[missed] * f2 * f3
-            own = at2, rows2, n2, at3, rows3, n3
-        lanes.narrow(cumulative, total, lanes.range >> np.uint64(TOTAL))
-        for moving in lanes.settle():
-            out[moving, used[moving]] = lanes.low[moving] >> np.uint64(48)
-            used[moving] += 1
-        lanes.learn(now, symbol, missed, own)
-    for k in range(4):
-        out[lanes.lane, used + k] = lanes.low >> np.uint64(48 - 16 * k)
-    return [out[k, : u + 4].astype("<u2").tobytes() for k, u in enumerate(used.tolist())]
+    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
+    sizes = [len(blocks[i]) for i in order]
+    n, most = len(blocks), max(sizes, default=0)
+    if not most:
+        return [b"\0" * 8] * n
+    ids = np.zeros((n, most), np.uint16)
+    for k, i in enumerate(order):
+        ids[k, : sizes[k]] = blocks[i]
+    shares, ids = _counted(ids, sizes, _growth(most)), np.ascontiguousarray(ids.T)
+    wide = most + 4
+    lanes, out, at = _Lanes(n), np.zeros(n * wide, np.uint32), np.arange(n) * wide
+    going = np.searchsorted(-np.array(sizes), -np.arange(most)).tolist()
+    for lo in range(0, most, STRETCH):
+        steps = range(lo, min(lo + STRETCH, most))
+        now, share = ids[lo : lo + STRETCH], shares[lo : lo + STRETCH].astype(np.uint64)
+        places, held, small = lanes.places(now), np.empty((len(steps), 2, n), np.uint32), now.astype(np.uint32)
+        for j in range(len(steps)):
+            held[j] = lanes.slots.take(places[j])
+            lanes.slots[places[j]] = _renewed(held[j], small[j])
+        guess, state = _told(held)
+        right, state = guess == small[:, None], state.astype(np.int64)
+        event = NEW - (share > 0xFFFF)
+        event &= ~_mask(right[:, 0])
+        event |= right[:, 0]
+        event &= ~_mask(right[:, 1])
+        base, cut = _cut(lanes.bounds.take(state * n + lanes.lane), event)
+        known, new = _mask(event == ORDER0), _mask(event == NEW)
+        start = (base << IN) + cut * (share & LAST & known | now & new)
+        cut *= share >> IN & known | np.uint64(1) & new | np.uint64(1 << INNER) & ~(known | new)
+        for j, t in enumerate(steps):
+            k = going[t]
+            step = lanes.range[:k] >> np.uint64(TOTAL)
+            lanes.low[:k] += start[j, :k] * step
+            np.multiply(cut[j, :k], step, out=lanes.range[:k])
+            moving, lead = lanes.settle(k)
+            place = at.take(moving)
+            out[place] = lead
+            at[moving] = place + 1
+        lanes.adapt(state, event)
+        lanes.mix()
+    out[at], out[at + 1] = lanes.low >> WORD, lanes.low & BELOW
+    coded: list[bytes] = [b""] * n
+    for k, (i, end) in enumerate(zip(order, at.tolist(), strict=True)):
+        coded[i] = out[k * wide : end + 2].astype("<u4").tobytes()
+    return coded
+
+
+class _Counts:
+    """What order 0 knows of the blocks at one size: the runs of equal ids in order, each with its share."""
+
+    def __init__(self, ids: np.ndarray):
+        k, size = ids.shape
+        held = np.sort(ids, axis=1, kind="stable") if size else np.zeros((k, 1), ids.dtype)
+        begins = np.ones(held.shape, bool)
+        np.not_equal(held[:, 1:], held[:, :-1], out=begins[:, 1:])
+        first = begins.ravel().nonzero()[0]
+        self.size = held.shape[1]
+        self.base, self.run = np.arange(k) * self.size, np.cumsum(begins.ravel(), dtype=np.int32)
+        self.run -= 1
+        # every block has as many ids, so bounds that run on from block to block are a multiple of 2^INNER off
+        until = np.append(first, held.size) << INNER
+        until //= self.size
+        packed = np.minimum(np.diff(until), 0xFFFF) << 32
+        packed |= (until[:-1] & 0xFFFF) << 16
+        packed |= held.ravel().take(first)
+        self.packed = packed.view(np.uint64)
+
+    def at(self, value: np.ndarray) -> np.ndarray:
+        """Of the runs that hold the values the id, and 2^16 times the lower bound and 2^32 times the width."""
+        place = (value + np.uint64(1)) * np.uint64(self.size)
+        place -= np.uint64(1)
+        place >>= IN
+        place = np.minimum(place.view(np.int64), self.size - 1)
+        place += self.base[: len(value)]
+        return self.packed.take(self.run.take(place))
 
 
 def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     """The blocks of so many ids that :func:`encode` made ``coded`` of."""
+    order = sorted(range(len(coded)), key=lambda i: -sizes[i])
     n, most = len(coded), max(sizes, default=0)
-    words = np.zeros((n, max(map(len, coded), default=0) // 2 + 2 * 4 + 8), np.uint64)
-    for k, c in enumerate(coded):
-        words[k, : len(c) // 2] = np.frombuffer(c, "<u2")
-    last = words.shape[1] - 1
-    lanes, used = _Lanes(n), np.full(n, 4, np.int64)
-    code = words[:, 0] << np.uint64(48) | words[:, 1] << np.uint64(32) | words[:, 2] << np.uint64(16) | words[:, 3]
-    out = np.zeros((most, n), np.int64)
-    for now in out:
-        lanes.look()
-        step = lanes.range >> np.uint64(TOTAL)
-        value = np.minimum((code - lanes.low) // step, np.uint64((1 << TOTAL) - 1)).astype(np.int64)
-        symbol = _find(lanes.mix, value >> INNER)
-        cumulative, width = lanes._share(lanes.mix, symbol, ROW + 2)
-        rest, cumulative, total = value - (cumulative << INNER), cumulative << INNER, width << INNER
-        now[:] = np.where(symbol == 0, lanes.p2, lanes.p1)
-        missed, own = np.flatnonzero(symbol > 1), None
-        if len(missed):
-            w, lead = width[missed], np.minimum(symbol[missed] - 2, 7)
-            left = rest[missed] // w
-            at2 = missed * 8 + lead
-            rows2 = lanes.second.take(at2, axis=0)
-            n2 = _find(rows2, left >> (NIBBLE + PLAIN))
-            c2, f2 = lanes._share(rows2, n2, NIBBLE)
-            left = (left - (c2 << (NIBBLE + PLAIN))) // f2
-            at3 = missed * 128 + (lead << 4 | n2)
-            rows3 = lanes.third.take(at3, axis=0)
-            n3 = _find(rows3, np.minimum(left >> PLAIN, (1 << NIBBLE) - 1))
-            c3, f3 = lanes._share(rows3, n3, NIBBLE)
-            plain = np.minimum((left - (c3 << PLAIN)) // f3, 31)
-            now[missed] = lead << 13 | n2 << 9 | n3 << 5 | plain
-            cumulative[missed] += w * ((c2 << (NIBBLE + PLAIN)) + f2 * ((c3 << PLAIN) + f3 * plain))
-            total[missed] = w * f2 * f3
-            own = at2, rows2, n2, at3, rows3, n3
-        lanes.narrow(cumulative, total, step)
-        for moving in lanes.settle():
-            code[moving] = code[moving] << WORD | words[moving, np.minimum(used[moving], last)]
-            used[moving] += 1
-        lanes.learn(now.copy(), symbol, missed, own)
-    return [out[:s, k].astype(np.uint16) for k, s in enumerate(sizes)]
+    wide = max(map(len, coded), default=0) // 4 + 4
+    words = np.zeros(n * wide, np.uint32)
+    for k, i in enumerate(order):
+        words[k * wide : k * wide + len(coded[i]) // 4] = np.frombuffer(coded[i], "<u4")
+    lanes, at = _Lanes(n), np.arange(n) * wide + 2
+    code = words[0::wide].astype(np.uint64) << WORD | words[1::wide]
+    points, out = set(_growth(most)), np.zeros((most, n), np.uint16)
+    counts = _Counts(out[:0].T)
+    going = np.searchsorted(-np.array(sorted(sizes, reverse=True)), -np.arange(most)).tolist()
+    for lo in range(0, most, STRETCH):
+        if lo in points:
+            counts = _Counts(np.ascontiguousarray(out[:lo, : going[lo]].T))
+        state, event = np.zeros((min(STRETCH, most - lo), n), np.int64), np.zeros((min(STRETCH, most - lo), n), np.uint64)
+        for j, t in enumerate(range(lo, min(lo + STRETCH, most))):
+            k = going[t]
+            held = lanes.look(k)
+            guess, state[j, :k] = _told(held)
+            step = lanes.range[:k] >> np.uint64(TOTAL)
+            value = np.minimum(_quotient(code[:k] - lanes.low[:k], step), LIMIT)
+            bounds = lanes.bounds.take(state[j, :k] * n + lanes.lane[:k])
+            event[j, :k] = now = _events(bounds, value >> IN)
+            base, cut = _cut(bounds, now)
+            base <<= IN
+            value -= base
+            value = (value / cut).astype(np.int64).view(np.uint64)  # of numbers under 2^30 no quotient rounds up to the next
+            counted = counts.at(value)
+            known, new, one = _mask(now == ORDER0), _mask(now == NEW), _mask(now == ORDER1)
+            guessed = ~(known | new)
+            value &= new
+            ids = counted & LAST & known | value | (guess[1] ^ (guess[0] ^ guess[1]) & one) & guessed
+            counted >>= IN
+            start = (counted & LAST & known | value) * cut
+            start += base
+            start *= step
+            lanes.low[:k] += start
+            counted >>= IN
+            cut *= counted & known | np.uint64(1) & new | np.uint64(1 << INNER) & guessed
+            np.multiply(cut, step, out=lanes.range[:k])
+            moving, _ = lanes.settle(k)
+            place = at.take(moving)
+            code[moving] = code.take(moving) << WORD | words.take(place, mode="clip")
+            at[moving] = place + 1
+            lanes.note(held, ids)
+            out[t, :k] = ids
+        lanes.adapt(state, event)
+        lanes.mix()
+    out = np.ascontiguousarray(out.T)
+    blocks: list[np.ndarray] = [np.zeros(0, np.uint16)] * n
+    for k, i in enumerate(order):
+        blocks[i] = out[k, : sizes[i]].copy()
+    return blocks

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, text_or_empty
+from quarry.llm.common import Scratch, by_range, sent, text_or_empty
 
 OVERHEAD = 16
 
@@ -45,14 +45,14 @@ def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(F.col(id_col).alias("id"), (F.octet_length(text_or_empty(text_col)).cast("long") + OVERHEAD).alias("size"), F.crc32(text_or_empty(text_col).cast("binary")).alias("text_crc32"))
     order = ["id", "size", "text_crc32"]
     schema = f"id {rows.schema['id'].dataType.simpleString()}, size long, text_crc32 long, part int, rank long, before long"
-    placed = scratch.keep(scratch.keep(rows, "sizes").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_running, schema), "running")
+    placed = scratch.keep(by_range(scratch.keep(rows, "sizes"), *order).sortWithinPartitions(*order).mapInArrow(_running, schema), "running")
     # one row for each partition, however many rows there are
     totals = placed.groupBy("part").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy("part").collect()
     starts = zip((r["part"] for r in totals), accumulate((r["size"] for r in totals), initial=0), accumulate((r["n"] for r in totals), initial=0), strict=False)
     starts = spark.createDataFrame(list(starts), "part int, bytes_before long, rows_before long")
     total = max(1, sum(r["size"] for r in totals))
     shard = F.expr(f"least({shards - 1}, ((2 * (before + bytes_before) + size) * {shards}L) div {2 * total}L)").cast("int")
-    cut = placed.join(F.broadcast(starts), "part").select("id", "size", "text_crc32", (F.col("rank") + F.col("rows_before")).alias("place"), shard.alias("shard"))
+    cut = placed.join(sent(starts, len(totals)), "part").select("id", "size", "text_crc32", (F.col("rank") + F.col("rows_before")).alias("place"), shard.alias("shard"))
     firsts = cut.groupBy("shard").agg(F.min("place").alias("first")).collect()  # at most one row for each shard
-    firsts = spark.createDataFrame([(r["shard"], r["first"]) for r in firsts], "shard int, first long")
-    return cut.join(F.broadcast(firsts), "shard").select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("place") - F.col("first")).alias("slot"))
+    by_shard = spark.createDataFrame([(r["shard"], r["first"]) for r in firsts], "shard int, first long")
+    return cut.join(sent(by_shard, len(firsts)), "shard").select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("place") - F.col("first")).alias("slot"))

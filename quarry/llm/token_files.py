@@ -1,9 +1,9 @@
 """Token-id files: documents in ascending order of id, in range-coded, checksummed blocks.
 
 A file is the token stream of one range of ids, stored as Parquet rows (file, block, payload) so that Spark's
-writers commit it and any store can hold it. A payload stands for itself: ``QTC1``, the counts of ids, segments
+writers commit it and any store can hold it. A payload stands for itself: ``QTC2``, the counts of ids, segments
 and coded bytes, the place of its first id in the file, the segments, the coded ids, and a CRC-32 of all before it. A
-segment says which document the next ids belong to. Each block holds up to 4096 ids and is coded from empty tables, so
+segment says which document the next ids belong to. Each block holds up to 2048 ids and is coded from empty tables, so
 one block is read, checked and decoded without any other."""
 
 from __future__ import annotations
@@ -18,16 +18,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, ship
+from quarry.llm.common import Scratch, by_range, sent, ship
 from quarry.llm.range_coder import decode, encode
 from quarry.llm.token_ids import loaded
 
-MAGIC = b"QTC1"
+MAGIC = b"QTC2"
 HEAD = struct.Struct("<4sIIIQ")
 SEGMENT = np.dtype([("ordinal", "<u8"), ("id", "<i8"), ("known", "u1"), ("before", "<u8"), ("n", "<u4")])
-BLOCK = 4096
+BLOCK = 2048
 #: Blocks that are coded side by side.
-LANES = 1024
+LANES = 3072
 
 
 def pack_block(ids: np.ndarray, coded: bytes, first: int, segments: np.ndarray) -> bytes:
@@ -54,35 +54,31 @@ def _writer(definition: str, end_id: int):
 
     def run(batches):
         ids_of, part = loaded(definition), TaskContext.get().partitionId()
-        if ids_of.dtype.itemsize != 2:
-            raise ValueError("the coder takes ids under 65536")
         blocks: list[tuple[np.ndarray, int, list[tuple]]] = []
-        open_ids: list[np.ndarray] = []
-        open_segments: list[tuple] = []
-        filled, done, ordinal, made = 0, 0, 0, 0
-
-        def close() -> None:
-            nonlocal filled, done, open_ids, open_segments
-            blocks.append((np.concatenate(open_ids), done, open_segments))
-            done, filled, open_ids, open_segments = done + filled, 0, [], []
-
+        rest, open_segments = np.zeros(0, ids_of.dtype), []  # of the block that is open
+        done, ordinal, made = 0, 0, 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                ids = np.append(np.frombuffer(ids_of(text or b""), ids_of.dtype), np.array([end_id], ids_of.dtype))
-                before = 0
-                while before < len(ids):
-                    own = ids[before : before + BLOCK - filled]
-                    open_ids.append(own)
-                    open_segments.append((ordinal, doc_id or 0, doc_id is not None, before, len(own)))
-                    filled, before = filled + len(own), before + len(own)
-                    if filled == BLOCK:
-                        close()
-                        if len(blocks) == LANES:
-                            yield coded(blocks, made, part)
-                            made, blocks = made + len(blocks), []
-                ordinal += 1
-        if filled:
-            close()
+            names = iter(batch.column("id").to_pylist())
+            for ids, counts in ids_of.many(batch.column("text"), end_id):
+                filled = len(rest)
+                ids = np.concatenate([rest, ids])
+                at = 0  # of the block that is open, in ids
+                for count in counts.tolist():
+                    doc_id, before = next(names), 0
+                    while before < count:
+                        n = min(count - before, BLOCK - filled)
+                        open_segments.append((ordinal, doc_id or 0, doc_id is not None, before, n))
+                        filled, before = filled + n, before + n
+                        if filled == BLOCK:
+                            blocks.append((ids[at : at + BLOCK], done, open_segments))
+                            at, done, filled, open_segments = at + BLOCK, done + BLOCK, 0, []
+                            if len(blocks) == LANES:
+                                yield coded(blocks, made, part)
+                                made, blocks = made + len(blocks), []
+                    ordinal += 1
+                rest = ids[at:].copy()
+        if len(rest):
+            blocks.append((rest, done, open_segments))
         if blocks:
             yield coded(blocks, made, part)
 
@@ -93,12 +89,15 @@ def write_files(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "do
     """Writes the token ids of all rows of ``df`` under ``path``, in ascending order of id, null ids first.
 
     A null text is empty; every document ends with ``end_id``. Rows of one id are ordered by their text. An empty table
-    makes a folder without blocks. Other columns are not read. ``id_col`` holds integers."""
+    makes a folder without blocks. Other columns are not read. ``id_col`` holds integers. A vocabulary of more than
+    65,536 ids is refused with a ValueError."""
     ship(df.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()
+    if loaded(definition).dtype.itemsize != 2:
+        raise ValueError("the coder takes ids under 65536")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = docs.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
+    ordered = by_range(docs, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
     ordered.mapInArrow(_writer(definition, end_id), "file int, block int, payload binary").write.mode("overwrite").option("compression", "none").parquet(path)
 
 
@@ -188,7 +187,7 @@ def read_index(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
     docs = scratch.keep(docs.withColumn("parts", F.when(F.col("count") > 1, F.col("parts"))), "documents")
     long = docs.filter("count > 1").select("file", "ordinal", "id", "at", "n", "parts").mapInArrow(_join_crc, "file int, ordinal long, id long, at long, n long, crc long")
     whole = docs.filter("count = 1").select("file", "ordinal", "id", "at", "n", "crc").union(long)
-    return whole.join(F.broadcast(starts), "file").select(F.col("id").alias(id_col), (F.col("at") + F.col("file_start")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    return whole.join(sent(starts, len(files)), "file").select(F.col("id").alias(id_col), (F.col("at") + F.col("file_start")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
 def _ids(batches):

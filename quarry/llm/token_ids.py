@@ -48,7 +48,12 @@ def parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices start, start + 1, ... of each run, one run after another."""
-    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
+    stops = np.cumsum(lengths)
+    total = int(stops[-1]) if len(stops) else 0
+    kind = np.int32 if total + int(starts.max(initial=0)) < 1 << 31 else np.int64
+    out = np.repeat((starts - stops + lengths).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def _strings(column: pa.Array) -> list:
@@ -76,7 +81,7 @@ class _Kept:
 class TokenIds:
     """Ids of texts, of numpy type ``dtype``; built from the text of a tokenizer file."""
 
-    def __init__(self, definition: str, cache: int = 125_000):
+    def __init__(self, definition: str, cache: int = 300_000):
         self.library = Tokenizer.from_str(definition)
         told = json.loads(definition)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
