@@ -40,12 +40,12 @@ NATIONS = "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_regi
 # --- statements ---
 
 
-@query("sql_create_insert", f"{NATIONS} UNION ALL VALUES (100, 'NORTH', 2), (101, 'SO''UTH', NULL), (102, 'east', NULL)")
+@query("sql_create_insert", f"{NATIONS} UNION ALL VALUES (100, 'NORTH', 2), (101, 'SO''UTH', -1), (102, 'east', -1)")
 def _(s, d):
     db = nations(s, d)
     db.execute("INSERT INTO nations VALUES (100, 'NORTH', 2), (101, 'SO''UTH', NULL)")
     db.execute("INSERT INTO nations (name, id) VALUES ('east', 102)")
-    return db.execute("SELECT * FROM NATIONS")
+    return db.execute("SELECT id, name, COALESCE(region, -1) AS region FROM NATIONS")
 
 
 @query("sql_update", f"SELECT id, CASE WHEN region = 1 OR id = 3 THEN lower(name) ELSE name END AS name, CASE WHEN region = 1 OR id = 3 THEN region + 10 ELSE region END AS region FROM ({NATIONS})")
@@ -207,13 +207,13 @@ def _(s, d):
     return db.table("nations")
 
 
-@query("sql_compaction", f"{NATIONS} UNION ALL SELECT i, 'x', NULL FROM range(300, 305) t(i)")
+@query("sql_compaction", f"{NATIONS} UNION ALL SELECT i, 'x', -1 FROM range(300, 305) t(i)")
 def _(s, d):
     db = nations(s, d)
     for i in range(300, 305):
         db.execute(f"INSERT INTO nations (id, name) VALUES ({i}, 'x')")
     db.compact()
-    return Session(s, db.path).table("nations")  # opened again from what is on disk
+    return Session(s, db.path).table("nations").select("id", "name", F.coalesce("region", F.lit(-1)).alias("region"))  # opened again from what is on disk
 
 
 @query("sql_backup", NATIONS)
