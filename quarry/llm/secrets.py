@@ -8,10 +8,12 @@ a part counts its neighbours and no pairs are made."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_or_empty
+from quarry.llm.common import Scratch, text_or_empty
 
 #: The kinds reported alone. Their order is that of spans which start together.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,6 +29,9 @@ KINDS = ["assign", "access", "hex", "weak_id", "weak_secret", "endpoint"]
 #: A scope: parts whose starts are this many code points apart at most.
 SCOPE = 200
 
+#: What a text must hold, in small letters for the first kind, before a pattern is worth running over it.
+HOLDS = {"assign": ("passw", "secret", "token", "api"), "access": ("AKIA",), "weak_id": ("AKIA", "ASIA", "AROA", "AIDA"), "endpoint": ("://",)}
+
 #: A match: its kind, how many code points it stands after the match before it, and its length.
 MATCH = "array<struct<order:int,nth:int,skip:int,n:int,kept:boolean>>"
 
@@ -39,7 +44,11 @@ def _matches(text: Column, kind: str, pattern: str, value_group: int = 0) -> Col
     zipped = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b"), values.alias("v"))
     least = LEAST_VALUE if value_group else 0
     told = F.transform(zipped, lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("order"), i.alias("nth"), F.char_length(x["b"]).alias("skip"), F.char_length(x["m"]).alias("n"), (F.char_length(x["v"]) >= least).alias("kept")))
-    return F.when(F.regexp_like(text, lit), told.cast(MATCH)).otherwise(F.array().cast(MATCH))
+    worth = F.regexp_like(text, lit)
+    if kind in HOLDS:
+        held = F.lower(text) if kind == "assign" else text
+        worth = reduce(Column.__or__, [F.contains(held, F.lit(word)) for word in HOLDS[kind]]) & worth
+    return F.when(worth, told.cast(MATCH)).otherwise(F.array().cast(MATCH))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -48,11 +57,17 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
     Starts and ends are code points, the end exclusive. Null and empty texts have no spans. Repeated rows each
     have a row, whatever their ids; null ids stay null. An empty table gives no rows. Other columns are not
     read. A very long text is scanned whole."""
-    text = F.col("text")
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    matches = F.concat(_matches(text, "assign", ASSIGN, 2), *[_matches(text, k, p) for k, p in (("access", ACCESS), ("hex", HEX), ("weak_id", WEAK_ID), ("weak_secret", WEAK_SECRET), ("endpoint", ENDPOINT))])
     # the number stays in one shuffle: it only holds a row's own parts together
-    numbered = docs.select("id", F.monotonically_increasing_id().alias("row"), matches.alias("matches"))
+    return _linked(docs.select("id", F.monotonically_increasing_id().alias("row"), _all_matches(F.col("text")).alias("matches")), scope).select(F.col("id").alias(id_col), "spans")
+
+
+def _all_matches(text: Column) -> Column:
+    return F.concat(_matches(text, "assign", ASSIGN, 2), *[_matches(text, k, p) for k, p in (("access", ACCESS), ("hex", HEX), ("weak_id", WEAK_ID), ("weak_secret", WEAK_SECRET), ("endpoint", ENDPOINT))])
+
+
+def _linked(numbered: DataFrame, scope: int) -> DataFrame:
+    """id and spans of each row of (id, row, matches): a window for each row, over its parts alone."""
     each = numbered.select("id", "row", F.explode_outer("matches").alias("m")).select("id", "row", "m.*").repartition("row")
     so_far = Window.partitionBy("row", "order").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     ends = each.withColumn("end", F.sum(F.col("skip") + F.col("n")).over(so_far).cast("int"))
@@ -64,9 +79,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
     has = lambda *kinds: F.max(F.col("kind").isin(*kinds)).over(near)
     identifier, secret = has("access", "weak_id"), has("assign", "weak_secret")
     linked = F.when(F.col("order") < 3, F.col("kind").isNotNull()).when(F.col("kind") == "weak_id", secret).when(F.col("kind") == "weak_secret", identifier).when(F.col("kind") == "endpoint", secret & identifier)
-    judged = each.withColumn("linked", linked)
     spans = F.array_sort(F.collect_list(F.when(F.col("linked"), F.struct("start", "order", "kind", "end"))))
-    return judged.groupBy("row").agg(F.first("id").alias("id"), spans.alias("spans")).select(F.col("id").alias(id_col), "spans")
+    return each.withColumn("linked", linked).groupBy("row").agg(F.first("id").alias("id"), spans.alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -84,19 +98,23 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE, mask: str = "[secret]") -> DataFrame:
     """``df`` with every reported span of its text replaced by ``mask``; all other columns stay.
 
-    The spans of a text are a function of it, so distinct texts that hold any are scanned once and joined
-    back by the text's two hashes; null texts stay null, and texts without spans stay as they are. Overlapping spans become one mask."""
-    names = {c: F.col(f"`{c}`") for c in df.columns}
-    text = F.col(f"`{text_col}`")
-    held = df.select(*names.values(), F.xxhash64(text).alias("__h"), F.sha2(text.cast("string"), 256).alias("__s"))
-    wanted = df.select(F.struct(F.xxhash64(text).alias("h"), F.sha2(text.cast("string"), 256).alias("s")).alias("key"), text.cast("string").alias("text")).filter(F.col("text").isNotNull())
-    found = scan(wanted.select("key", "text"), "key", "text", scope).filter(F.size("spans") > 0)
-    found = found.groupBy("key").agg(F.first("spans").alias("__spans")).select(F.col("key.h").alias("__h"), F.col("key.s").alias("__s"), "__spans")
-    out = held.join(found, ["__h", "__s"], "left")
+    Rows and their matches are written first. Rows without a match are done then; only those with one, and of the others nothing,
+    are shuffled, to judge their parts and to join the spans back by the row's number. Null texts stay null, empty ones and texts
+    without spans stay as they are, repeated rows all stay. Overlapping spans become one mask. An empty table gives no rows.
+    No name of a column is in the way."""
+    packed = df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("nth"), _all_matches(text_or_empty(text_col)).alias("matches"))
+    noted = Scratch(df.sparkSession, "redact").keep(packed, "matches")
+    matched = noted.filter(F.size("matches") > 0)
+    found = _linked(matched.select(F.col("nth").alias("id"), F.col("nth").alias("row"), "matches"), scope).select(F.col("id").alias("nth"), "spans")
+    out = matched.select("nth", "row", F.col("row")[text_col].cast("string").alias("text")).join(found, "nth")
+    text = F.col("text")
     cut = F.aggregate(
-        "__spans",
+        "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out")),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))),
     )
-    return out.select(*[F.when(F.col("__spans").isNull(), c).otherwise(cut).alias(n) if n == text_col else c for n, c in names.items()])
+    masked = F.when(F.size("spans") == 0, F.col("row")[text_col]).otherwise(cut)
+    fields = [masked.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns]
+    changed = out.select(F.struct(*fields).alias("out")).select("out.*")  # in a struct no name stands for another column
+    return noted.filter(F.size("matches") == 0).select("row.*").union(changed)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import Scratch
+from quarry.llm.common import Scratch, by_hash
 from quarry.llm.components import components
 
 RADIUS = 2
@@ -246,7 +246,7 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, bucket_li
     again = F.array(*[F.lit(1 << 60).bitwiseOR(F.shiftleft(F.col("key") * len(TABLES) + t, 16)).bitwiseOR(F.shiftleft(byte(a), 8)).bitwiseOR(byte(b)) for t, (a, b) in enumerate(TABLES)])
     hot = met.filter(F.col("n") > bucket_limit).withColumn("loose", loose).select(F.explode(again).alias("key"), "fp")
     buckets = met.filter(F.col("n") <= bucket_limit).select("key", "fp").union(hot)
-    return buckets.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_stars(radius), "u long, v long")
+    return by_hash(buckets, "key").sortWithinPartitions("key", "fp").mapInArrow(_stars(radius), "u long, v long")
 
 
 # --- similarity of 0.8 and more: bands of MinHash values make groups, bit-sliced fingerprints are compared in them, the shingle sets decide ---
@@ -259,6 +259,8 @@ BAND, TABLES_OF_BANDS = 7, 48
 WIDE, WIDE_RADIUS = 4, 80
 #: Shingles in a part of a group of candidates: two parts are compared at once, in a task's memory.
 PART_SHINGLES = 1 << 20
+#: A group of more sets than this is dealt into parts as well, up to so many, so that no task has it alone.
+SPLIT_SETS, SPLIT_PARTS = 512, 8
 
 
 def shingle_set(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
@@ -375,19 +377,20 @@ def _set_links(rows: DataFrame, text_col: str, scratch: Scratch, similarity: flo
     """Edges between fingerprints of sets, of rows (row, fp, size, bands), that connect all that are similar and share a band.
 
     Sets that bands connect form a group, and each of a group's texts is read once for each tile. A group of more
-    sets than ``bucket_limit``, or of very many shingles, is dealt into parts, and every two parts meet in a tile of their own."""
+    sets than ``bucket_limit`` or SPLIT_SETS, or of very many shingles, is dealt into parts, and every two parts meet in a tile of their own."""
     short = F.xxhash64("fp")  # where two sets share it, groups are only larger
     placed = rows.select(short.alias("u"), F.explode("bands").alias("key"))
     met = placed.groupBy("key").agg(F.min("u").alias("v"), F.max("u").alias("w")).filter("v < w").select("key", "v")
     groups = scratch.keep(components(placed.join(met, "key").select("u", "v"), scratch), "groups")
-    texts = rows.select("fp", "size", F.col("row")[text_col].cast("string").alias("text")).withColumn("vertex", short).join(groups, "vertex")
+    # texts are many at any size that matters: a merge from the start, which sorts and spills, and not by what one run happens to find
+    texts = rows.select("fp", "size", F.col("row")[text_col].cast("string").alias("text")).withColumn("vertex", short).join(groups.hint("merge"), "vertex")
     members = scratch.keep(texts.select("root", "fp", "size", "text").dropDuplicates(["fp"]), "members")
-    parts = F.greatest(F.ceil(F.count("*") / bucket_limit), F.ceil(F.sum("size") / PART_SHINGLES)).cast("int")
+    parts = F.greatest(F.ceil(F.count("*") / bucket_limit), F.ceil(F.sum("size") / PART_SHINGLES), F.least(F.lit(SPLIT_PARTS), F.ceil(F.count("*") / SPLIT_SETS))).cast("int")
     parted = members.select("root", "fp", "text").join(members.groupBy("root").agg(parts.alias("parts")), "root")
     parted = parted.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     # two parts or more: their own tiles are left out, every other tile compares a part within itself as well
     dealt = parted.filter("own != other OR parts = 1").select(F.concat_ws(":", F.col("root"), F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "fp", "text")
-    return dealt.repartition("tile").sortWithinPartitions("tile", "fp").mapInArrow(_alike_in_tiles(similarity), "u binary, v binary")
+    return by_hash(dealt, "tile").sortWithinPartitions("tile", "fp").mapInArrow(_alike_in_tiles(similarity), "u binary, v binary")
 
 
 def _named(prints: DataFrame, scratch: Scratch, link) -> DataFrame:
@@ -446,4 +449,4 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = scratch.keep(packed.mapInArrow(_with_sets(id_col, text_col, tables), schema), "rows")
     named = _named(rows.select("id", "fp"), scratch, lambda distinct: _set_links(rows, text_col, scratch, similarity, bucket_limit))
     stay = named.filter(F.col("fp") == F.col("first.fp")).select(F.col("first.id").alias("stay_id"), F.col("fp").alias("stay_fp"))
-    return rows.join(stay, (F.col("fp") == F.col("stay_fp")) & F.col("id").eqNullSafe(F.col("stay_id")), "left_semi").select("row.*")
+    return rows.join(stay.hint("merge"), (F.col("fp") == F.col("stay_fp")) & F.col("id").eqNullSafe(F.col("stay_id")), "left_semi").select("row.*")
