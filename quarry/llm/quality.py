@@ -161,7 +161,8 @@ def _measured(batches):
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
     """Fits a model to the labelled rows of ``df`` that are not held out (see :func:`held_out`).
 
-    Of those, ``fit_rows`` at most, the ids first in the order of a hash, and so a sample that does not follow
+    Null texts count as empty. An empty table, no labels or labels of one kind give a model without tables, which
+    scores every text alike. Of the labelled rows ``fit_rows`` are taken at most, the ids first in the order of a hash, and so a sample that does not follow
     the ids; an id that is labelled twice gives its larger label; rows without an id or a label do not count.
     What is collected is a row of numbers for each."""
     ship(df.sparkSession)
@@ -202,14 +203,18 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 def _keeper(model: Model, threshold: float):
     def run(batches):
         for batch in batches:
-            keep = model.score(_matrix(batch.column("__text"))) >= threshold
-            yield batch.drop_columns(["__text"]).filter(pa.array(keep))
+            keep = model.score(_matrix(batch.column("text"))) >= threshold
+            yield batch.select(["row"]).filter(pa.array(keep))
 
     return run
 
 
 def accepted(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``df``, with all their columns, that score ``threshold`` or more."""
-    ship(df.sparkSession)
-    return df.withColumn("__text", F.col(f"`{text_col}`").cast("string")).mapInArrow(_keeper(model, threshold), df.schema)
+    """The rows of ``df``, with all their columns, that score ``threshold`` or more.
 
+    Rows are judged by their texts alone, so repeated rows stay or go together, whatever their ids. A null text counts as empty,
+    and an empty one is scored like any other. Texts are read whole. An empty table gives no rows. No name of a column is in the way."""
+    ship(df.sparkSession)
+    packed = df.select(F.struct("*").alias("row"))
+    rows = packed.select("row", F.col("row")[text_col].cast("string").alias("text"))
+    return rows.mapInArrow(_keeper(model, threshold), packed.schema).select("row.*")

@@ -88,7 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": EXACT_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
+    return {"op6_exact_dedup": EXACT_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL, "op10_sharding": SHARDING_SQL}
 
 
 EXACT_DEDUP_SQL = r"""
@@ -121,3 +121,24 @@ SELECT doc_id, count(*) FILTER (gone) AS n_removed,
        coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (NOT gone), '') AS text
 FROM judged GROUP BY doc_id
 """
+
+#: The checksum is folded over the bytes of a text, by a table that is made from the polynomial.
+SHARDING_SQL = """
+WITH crc AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS step FROM (
+    SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda x, bit: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END) AS c
+    FROM range(256) r(i)
+  )
+), d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda pair: ('0x' || pair)::UBIGINT) AS bytes
+  FROM documents
+), summed AS (
+  SELECT doc_id, size, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda x, y: xor(x >> 8, step[xor(x & 255, y)::BIGINT + 1])), 4294967295::UBIGINT) AS BIGINT) AS text_crc32,
+         coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total
+  FROM d, crc
+), cut AS (
+  SELECT *, CAST(least(39, (2 * before + size) * 40 // (2 * total)) AS INTEGER) AS shard FROM summed
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut
+"""
