@@ -1,4 +1,6 @@
-"""A training corpus from raw documents: quality filter, exact and near deduplication, secret removal, packing."""
+"""A training corpus from raw documents: quality filter, exact and near deduplication, secret removal, packing.
+
+Every stage takes any table with the columns doc_id and text, keeps all columns that it finds, and gives no rows for an empty table."""
 
 from __future__ import annotations
 
@@ -18,24 +20,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. Null texts are judged as empty."""
+    """Documents that the quality classifier accepts. Null texts are judged as empty; repeated rows stay or go together."""
     return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
 
 
 def exact_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for white space, the longest, then the smallest id."""
+    """Of documents equal but for white space, the longest, then the smallest id. Null counts as empty, null ids come last, and of repeated rows one stays."""
     return deduplicated(docs)
 
 
 def near_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more, linked transitively, that of the smallest id."""
+    """Of documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more, linked transitively, that of the smallest id. Null and empty texts are alike, null ids come last."""
     return representatives(docs)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the secrets found in its text masked; n_chars follows the text. Null texts stay null."""
+    """Every document, with the secrets found in its text masked; n_chars, if it is there, follows the text. Null texts stay null, empty ones empty, repeated rows all stay."""
     clean = secrets.redact(docs)
-    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    if "n_chars" not in docs.columns:
+        return clean
+    length = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))
+    return clean.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +51,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", good_quality),
     ("exact dedup", exact_once),
-    ("near-dedup", near_once),
+    ("SimHash near-dedup", near_once),
     ("secret scans", no_secrets),
     ("best-fit packing", packed),
 ]
