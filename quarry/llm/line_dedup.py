@@ -38,29 +38,31 @@ def spread_lines(df: DataFrame, text_col: str = "text", site_col: str = "source"
     return scratch.keep(exact.filter(F.col("n_sites") >= sites).union(sure), "spread")
 
 
-def remove_spread(df: DataFrame, spread: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with all their columns, the lines of ``spread`` removed from their texts, and ``n_removed``."""
-    text = F.col(f"`{text_col}`")
-    taken = {"__id", "__h1", "__h2", "__drop", "n_removed"} & set(df.columns)
-    if taken:
-        raise ValueError(f"columns are in the way: {sorted(taken)}")
-    keyed = df.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)})
+def remove_spread(df: DataFrame, spread: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` with all their columns, the lines of ``spread`` removed from their texts, and ``n_removed``.
+
+    A column of ``df`` that has this name gives way to it; no other name is in the way. Nulls, ties and repeated rows as in :func:`without_boilerplate`."""
+    packed = df.select(F.struct("*").alias("row")).withColumn("text", F.col("row")[text_col].cast("string"))
+    keyed = packed.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
     # equal texts lose the same lines, so a text's hashes stand for it and no row needs a number
-    lines = keyed.select("__h1", "__h2", F.explode(F.array_distinct(F.transform(F.split(text_or_empty(text_col), "\n", -1), line_key))).alias("line")).filter("line <> ''")
+    lines = keyed.select("t1", "t2", F.explode(F.array_distinct(F.transform(F.split(text_or_empty("text"), "\n", -1), line_key))).alias("line")).filter("line <> ''")
     found = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")}).join(spread.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    drops = found.select("__h1", "__h2", "line").distinct().groupBy("__h1", "__h2").agg(F.collect_list("line").alias("__drop"))
-    out = keyed.join(drops, ["__h1", "__h2"], "left")
-    lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda line: ~F.array_contains(F.col("__drop"), line_key(line)))
-    removed = F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long")
-    clean = F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(kept, "\n"))
-    return out.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns], removed.alias("n_removed"))
+    drops = found.select("t1", "t2", "line").distinct().groupBy("t1", "t2").agg(F.collect_list("line").alias("drop"))
+    # written, so that the join stands on two plain shuffles and copies of one text, however many, can be split among tasks
+    out = keyed.join(Scratch(df.sparkSession, "drops").keep(drops, "drops"), ["t1", "t2"], "left")
+    lines = F.split("text", "\n", -1)
+    kept = F.filter(lines, lambda line: ~F.array_contains(F.col("drop"), line_key(line)))
+    removed = F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long")
+    clean = F.when(F.col("drop").isNull(), F.col("row")[text_col]).otherwise(F.array_join(kept, "\n"))
+    fields = [clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns if c != "n_removed"]
+    return out.select(F.struct(*fields, removed.alias("n_removed")).alias("out")).select("out.*")  # in a struct no name stands for another column
 
 
-def without_boilerplate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
+def without_boilerplate(df: DataFrame, text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
     """The rows of ``df`` with all their columns; lines on ``sites`` distinct sites or more are removed from every text, and counted in ``n_removed``.
 
     Lines end at newlines and are compared without white space at either end; blank lines are never removed.
     Null texts stay null, empty ones empty; a null site counts on no site, and its row still loses lines.
-    Repeated rows stay; a line repeated in one text or site counts once. An empty table gives no rows."""
-    return remove_spread(df, spread_lines(df, text_col, site_col, sites), id_col, text_col)
+    Repeated rows stay; a line repeated in one text or site counts once. An empty table gives no rows. A column of the name
+    ``n_removed`` gives way to the count."""
+    return remove_spread(df, spread_lines(df, text_col, site_col, sites), text_col)
