@@ -9,7 +9,9 @@ is exact; a larger one leaves out more. What is reported is scored again on the
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Scratch
 
 SHARD_ROWS = 8192
-BLOCK_QUERIES = 4096
+#: Queries that pass a tree in one task, and those searched at once.
+STRIPE_QUERIES, BLOCK_QUERIES = 1 << 18, 4096
 LEAF = 256
 #: Candidates kept beyond k before exact scores decide, for products that differ in rounding alone.
 MARGIN = 4
@@ -42,14 +45,19 @@ class Tree:
         norms = (x**2).sum(1)
         self.x, self.most = x, float(norms.max())
         self.lifted = np.column_stack([x, np.sqrt(np.maximum(0, self.most - norms))])
-        self.leaves: list[Node] = []
         self.scored = 0
         self.root = self._build(np.arange(len(x)), leaf, np.random.default_rng(len(x)))
 
+    def __getstate__(self) -> dict:
+        return {"x": self.x, "most": self.most, "root": self.root, "scored": 0}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.lifted = np.column_stack([self.x, np.sqrt(np.maximum(0, self.most - (self.x**2).sum(1)))])
+
     def _build(self, rows: np.ndarray, leaf: int, rng: np.random.Generator) -> Node:
         if len(rows) <= leaf:
-            self.leaves.append(node := Node(rows=rows))
-            return node
+            return Node(rows=rows)
         at = int(rng.integers(len(rows)))
         point, rest = int(rows[at]), np.delete(rows, at)
         d = np.sqrt(((self.lifted[rest] - self.lifted[point]) ** 2).sum(1))
@@ -110,40 +118,61 @@ class Tree:
                 self._visit(child, going)
 
 
-def _tile(k: int, factor: float):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        if not candidates.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        order = np.argsort(queries["id"].to_numpy(), kind="stable")
-        dimension = len(queries["vector"][0])
-        flat = lambda t: t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
-        x, q = flat(candidates), flat(queries)[order]
-        ids, own = candidates["ids"].to_pylist(), queries["id"].to_numpy()[order]
-        by_least = np.argsort([i[0] for i in ids])  # the tree should not follow the order that rows came in
-        x, ids = x[by_least], [ids[i] for i in by_least]
-        held = min(k + 1 + MARGIN, len(x))
-        row, best = Tree(x).search(q, held, factor)
-        # where all that is held is within rounding of the k-th other, more rows may be
-        rounding = dimension * 2.0**-50 * np.sqrt((q**2).sum(1)) * math.sqrt(float((x**2).sum(1).max()))
-        edge = np.sort(best, axis=1)[:, -min(k + 1, held)] - 2 * rounding
-        cut = (best.min(1) >= edge) & (held < len(x))
-        out: list[tuple[int, int, float]] = []
-        for me, query, rows, products, least, more in zip(own.tolist(), q, row, best, edge.tolist(), cut.tolist(), strict=True):
-            if more:
-                products = x @ query
-                rows = np.flatnonzero(products >= least)
-                products = products[rows]
-            exact = [(-math.fsum((query * x[r]).tolist()), i) for r, p in zip(rows.tolist(), products.tolist(), strict=True) if p > -math.inf for i in ids[r][: k + 1] if i != me]
-            out += [(me, i, -s) for s, i in sorted(exact)[:k]]
-        a, b, c = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], schema=schema)
+def _matrix(vectors: pa.Array, dimension: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
+
+
+def _planted(key: tuple, rows: pa.Table) -> pa.Table:
+    """The tree of a shard, with the ids that each of its vectors stands for."""
+    dimension, shard = (k.as_py() for k in key)
+    ids = rows["ids"].to_pylist()
+    by_least = np.argsort([i[0] for i in ids])  # the tree should not follow the order that rows came in
+    tree = Tree(_matrix(rows["vector"].combine_chunks(), dimension)[by_least])
+    return pa.table([pa.array([dimension], pa.int32()), pa.array([shard], pa.int32()), pa.array([pickle.dumps((tree, [ids[i] for i in by_least]))], pa.binary())], names=["dimension", "shard", "tree"])
+
+
+def _found(tree: Tree, ids: list[list[int]], own: list[int], q: np.ndarray, k: int, factor: float) -> pa.RecordBatch:
+    """The ``k`` best rows of a shard for some queries, exactly scored."""
+    x, dimension = tree.x, q.shape[1]
+    held = min(k + 1 + MARGIN, len(x))
+    row, best = tree.search(q, held, factor)
+    # where all that is held is within rounding of the k-th other, more rows may be
+    rounding = dimension * 2.0**-50 * np.sqrt((q**2).sum(1)) * math.sqrt(float((x**2).sum(1).max()))
+    edge = np.sort(best, axis=1)[:, -min(k + 1, held)] - 2 * rounding
+    cut = (best.min(1) >= edge) & (held < len(x))
+    out: list[tuple[int, int, float]] = []
+    for me, query, rows, products, least, more in zip(own, q, row, best, edge.tolist(), cut.tolist(), strict=True):
+        if more:
+            products = x @ query
+            rows = np.flatnonzero(products >= least)
+            products = products[rows]
+        exact = [(-math.fsum((query * x[r]).tolist()), i) for r, p in zip(rows.tolist(), products.tolist(), strict=True) if p > -math.inf for i in ids[r][: k + 1] if i != me]
+        out += [(me, i, -s) for s, i in sorted(exact)[:k]]
+    a, b, c = zip(*out, strict=True) if out else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])
+
+
+def _passing(k: int, factor: float):
+    """Sorted rows of (dimension, shard, stripe, tree, id, vector), a tree before its queries -> what each query finds in each tree."""
+
+    def run(batches):
+        place, tree, ids = None, None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("dimension", "shard", "stripe")), strict=True))
+            planted = np.flatnonzero(batch.column("tree").is_valid().to_numpy(zero_copy_only=False)).tolist()
+            cuts = sorted({0, *planted, *(i + 1 for i in planted), *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)})
+            for lo, hi in pairwise(cuts):
+                if (pickled := batch.column("tree")[lo]).is_valid:
+                    place, (tree, ids) = keys[lo], pickle.loads(pickled.as_py())
+                elif keys[lo] == place:  # else no vector of this dimension is in the shard
+                    for at in range(lo, hi, BLOCK_QUERIES):
+                        part = batch.slice(at, min(BLOCK_QUERIES, hi - at))
+                        yield _found(tree, ids, part.column("id").to_pylist(), _matrix(part.column("vector"), place[0]), k, factor)
 
     return run
 
 
-def nearest(df: DataFrame, k: int = 20, every: int = 20, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def nearest(df: DataFrame, k: int = 20, every: int = 20, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, stripe_queries: int = STRIPE_QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose id ``every`` divides, the ``k`` other rows of largest inner product found.
 
     Ties go to the smaller id; with fewer candidates all are given. Null ids, and vectors that are null, zero or
@@ -163,11 +192,15 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, factor: float = 1.0, id
     distinct = scratch.keep(least.withColumn("dimension", F.size("vector")), "distinct")
     asked = rows.filter(F.col("id") % every == 0).withColumn("dimension", F.size("vector"))
     shards = max(1, -(-distinct.count() // shard_rows))
-    blocks = max(1, -(-asked.count() // block_queries))
+    stripes = max(1, -(-asked.count() // stripe_queries))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")).withColumn("block", each(blocks))
-    blocked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
-    tile = ["dimension", "shard", "block"]
-    found = dealt.groupBy(*tile).cogroup(blocked.groupBy(*tile)).applyInArrow(_tile(k, factor), "query_id long, vec_id long, score double")
+    sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
+    trees = scratch.keep(sharded.groupBy("dimension", "shard").applyInArrow(_planted, "dimension int, shard int, tree binary"), "trees")
+    # each tree is made once and goes once to each stripe, whose queries pass it in blocks
+    left = trees.withColumn("stripe", each(stripes)).select("dimension", "shard", "stripe", "tree", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("vector"))
+    right = asked.withColumn("shard", each(shards)).select("dimension", "shard", F.pmod(F.xxhash64("id"), F.lit(stripes)).cast("int").alias("stripe"), F.lit(None).cast("binary").alias("tree"), "id", "vector")
+    place = ["dimension", "shard", "stripe"]
+    passing = left.union(right).repartition(*place).sortWithinPartitions(*place, F.col("tree").isNull())
+    found = passing.mapInArrow(_passing(k, factor), "query_id long, vec_id long, score double")
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
