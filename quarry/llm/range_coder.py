@@ -4,8 +4,8 @@ A block is coded by itself: its tables start empty. The next id is one of four t
 followed the two ids before), what order 1 predicts, an id of the block's own order-0 counts, or a new one. Three adaptive
 distributions over these four, by the state of order 2, of order 1, and without context, are mixed; the mixing weights move to
 the distributions that foretold best. An id of order 0 is coded by its share of the counts, all of its bits; a new id takes 16
-bits. All this drives a carry-less range coder. Distributions and weights adapt after each stretch of 64 ids, the counts
-whenever the block has grown by about a half. Many blocks are coded side by side, a lane of the arrays each.
+bits. All this drives a carry-less range coder. Distributions and weights adapt after each stretch of 96 ids, the counts
+whenever the block has doubled. Many blocks are coded side by side, a lane of the arrays each.
 
 The model uses integers and single additions, multiplications and divisions of 32-bit floats alone, so any machine decodes what
 another has coded."""
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 
-STRETCH = 64
+STRETCH = 96
 #: Bits of a distribution's total, of what an event is divided into, and of both.
 ROW, INNER = 14, 16
 TOTAL = ROW + INNER
@@ -38,7 +38,7 @@ def _growth(most: int) -> list[int]:
     """Sizes at which a block's counts are taken anew."""
     out = [STRETCH]
     while out[-1] < most:
-        out.append(max(out[-1] + STRETCH, out[-1] * 3 // 2 // STRETCH * STRETCH))
+        out.append(2 * out[-1])
     return out[:-1]
 
 

@@ -26,8 +26,8 @@ MAGIC = b"QTC2"
 HEAD = struct.Struct("<4sIIIQ")
 SEGMENT = np.dtype([("ordinal", "<u8"), ("id", "<i8"), ("known", "u1"), ("before", "<u8"), ("n", "<u4")])
 BLOCK = 2048
-#: Blocks that are coded side by side.
-LANES = 3072
+#: Blocks that are coded side by side, and decoded: decoding has more steps for each id, which more blocks share.
+CODED, LANES = 1024, 3072
 
 
 def pack_block(ids: np.ndarray, coded: bytes, first: int, segments: np.ndarray) -> bytes:
@@ -72,7 +72,7 @@ def _writer(definition: str, end_id: int):
                         if filled == BLOCK:
                             blocks.append((ids[at : at + BLOCK], done, open_segments))
                             at, done, filled, open_segments = at + BLOCK, done + BLOCK, 0, []
-                            if len(blocks) == LANES:
+                            if len(blocks) == CODED:
                                 yield coded(blocks, made, part)
                                 made, blocks = made + len(blocks), []
                     ordinal += 1
