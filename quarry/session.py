@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
@@ -324,8 +325,8 @@ class Transaction:
             if not values:
                 return {"status": "inserted", "count": 0, "rows": 0}
             # in the order given; many rows are split among tasks by their number
-            shape = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("__nth", T.LongType())])
-            texts = self.spark.createDataFrame([(*map(st.as_text, v), i) for i, v in enumerate(values)], shape).coalesce(max(1, len(values) // LITERAL_ROWS))
+            given_texts = [pa.array([st.as_text(v[i]) for v in values], pa.string()) for i in range(len(names))]
+            texts = self.spark.createDataFrame(pa.table([*given_texts, pa.array(range(len(values)), pa.int64())], names=[*names, "__nth"])).coalesce(max(1, len(values) // LITERAL_ROWS))
             typed = [c.from_text().alias(c.name) if c.name in names else F.lit(None).cast(c.spark).alias(c.name) for c in known]
             given = {c.name: f"__given_{c.name}" for c in known if c.name in names and c.family != "string"}
             new = texts.select(*typed, "__nth", *[F.col(f"`{n}`").alias(g) for n, g in given.items()])
