@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as hs
 from tokenizers import Tokenizer
 
-from quarry.llm import packing, pieces, token_files, token_ids
+from quarry.llm import packing, pieces, range_coder, token_files, token_ids
 from quarry.llm.range_coder import decode, encode
 from quarry.llm.token_ids import TokenIds
 from tests.llm.conftest import documents
@@ -216,3 +216,31 @@ def test_coded_ids_take_few_bits():
         new = np.mean([len(np.unique(b)) for b in blocks]) / 2048
         assert bits(blocks) < -(share * np.log2(share)).sum() + 16 * new + 0.7
     assert bits([np.tile(rng.integers(0, 50000, 64), 32) for _ in range(8)]) < 1.5
+
+
+def test_what_followed_is_told_as_slot_by_slot():
+    """Looked up for whole blocks at once, the slots hold what a walk over the ids leaves in them."""
+    rng = np.random.default_rng(5)
+    ids, slots = rng.integers(0, 4, (5, 400), np.uint16), rng.integers(0, 9, (5, 400), np.uint16)
+    ids[0], slots[1] = 0, 7
+    guess, sure = range_coder._followed(ids, slots)
+    for block in range(5):
+        held = {}
+        for t, (i, slot) in enumerate(zip(ids[block].tolist(), slots[block].tolist(), strict=True)):
+            last, often = held.get(slot, (0, 0))
+            assert (guess[block, t], sure[block, t]) == (last, often)
+            held[slot] = (i, min(often + 1, 3) if i == last else 0)
+
+
+def test_words_of_the_table_keep_their_ids():
+    """Over the limit some words go and are made again; a word that is known is not."""
+    made = []
+    table = token_ids._Table(lambda word: made.append(word) or [ord(c) for c in word], np.dtype("<u2"), 6)
+    rng = random.Random(2)
+    for _ in range(200):
+        words = sorted({"".join(rng.choice("abcé") for _ in range(rng.randint(0, 2))) for _ in range(rng.randint(0, 5))})
+        ids, starts, lengths = table.all(pa.array(words, pa.string()))
+        assert ["".join(map(chr, ids[s : s + n])) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)] == words
+        before = len(made)
+        table.all(pa.array(words[:1], pa.string()))
+        assert len(made) == before and len(table.words) <= 6 + 5
