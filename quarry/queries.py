@@ -284,9 +284,11 @@ def _(s, d):
 
 @query("group_approximate", "SELECT event_type, true AS near FROM events GROUP BY 1")
 def _(s, d):
-    """Whether an estimate of distinct users is within a tenth of their number."""
-    exact, estimate = F.count_distinct("user_id"), F.approx_count_distinct("user_id", 0.02)
-    return read(s, d, "events").groupBy("event_type").agg((F.abs(estimate - exact) <= exact * 0.1).alias("near"))
+    """Whether an estimate of distinct users is within a tenth of their number.
+
+    Both go over the distinct pairs, which leave the sketch as it is: beside count_distinct there would be a sketch of 3 kB for each user."""
+    exact, estimate = F.count("user_id"), F.approx_count_distinct("user_id", 0.02)
+    return read(s, d, "events").select("event_type", "user_id").distinct().groupBy("event_type").agg((F.abs(estimate - exact) <= exact * 0.1).alias("near"))
 
 
 @query("window_frames", "SELECT event_id, lag(value, 1, 0.0) OVER w AS before, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS three, first_value(event_type) OVER w AS first, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS kind FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")

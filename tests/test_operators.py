@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import duckdb
 import pytest
@@ -63,6 +64,17 @@ def test_first_rows_and_global_aggregates(spark):
     assert [r.n for r in top(df, 2, "-n").collect()] == [3, 2]
 
 
+def test_an_estimate_of_users_keeps_a_sketch_for_each_group_only(spark, tmp_path):
+    rows = [("a", i % 3000) for i in range(9000)] + [(None, 1), (None, 1), ("b", None), ("b", None), ("c", None), ("c", 7)]
+    spark.createDataFrame(rows, "event_type string, user_id long").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    df = core.queries()["group_approximate"](spark, str(tmp_path))
+    keys = re.findall(r"keys=\[(.*?)\], functions=\[[^\n]*approx_count_distinct", df._jdf.queryExecution().executedPlan().toString())
+    assert keys and all(re.fullmatch(r"event_type#\d+", k) for k in keys)
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, [("a", True), ("b", True), ("c", True), (None, True)]))
+    spark.createDataFrame([], "event_type string, user_id long").write.parquet(str(tmp_path / "none/events.parquet"))
+    assert core.queries()["group_approximate"](spark, str(tmp_path / "none")).count() == 0
+
+
 def test_json_and_arithmetic(spark):
     df = spark.createDataFrame([('{"a": {"b": [1, 2]}, "n": null}',), ("[1, 2, 3]",), ("text",), (None,)], "j string")
     got = df.select(json_extract(F.col("j"), "$.a.b[1]").alias("x"), json_extract_long(F.col("j"), "$.a.b[5]").alias("y"), json_extract(F.col("j"), "a").alias("z"), json_length(F.col("j")).alias("n")).collect()
